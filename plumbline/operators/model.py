@@ -96,23 +96,27 @@ def draw_trials(config: AutoMLConfig) -> list[dict[str, Any]]:
     return out
 
 
-def estimator(params: dict[str, Any], task: str, classes: int = 2, seed: int = SEED):
-    """The Spark ML estimator for one trial. Boosting is binary only, so more classes use a forest."""
-    name = params["algorithm"]
+def learner_for(algorithm: str, task: str, classes: int = 2, seed: int = SEED):
+    """An untuned Spark ML estimator. Boosting is binary only, so more classes use a forest."""
     family = CLASSIFIERS if task == "classification" else REGRESSORS
-    if name not in family:
-        raise ValueError(f"algorithm {name!r} is not one of {list(family)}")
-    if task == "classification" and name == "gbt" and classes > 2:
-        name = "random_forest"
-    share = str(params.get("colsample", 1.0))
-    trees = {"maxDepth": params.get("max_depth", 5), "subsamplingRate": params.get("subsample", 1.0),
-             "featureSubsetStrategy": "all" if share == "1.0" else share, "seed": seed}
-    if name == "gbt":
-        return family[name](maxIter=params.get("n_estimators", 20), stepSize=params.get("learning_rate", 0.1), **trees)
-    if name == "random_forest":
-        return family[name](numTrees=params.get("n_estimators", 20), **trees)
-    # linear families search the penalty on the learning-rate scale
-    return family[name](regParam=params.get("learning_rate", 0.0))
+    if algorithm not in family:
+        raise ValueError(f"algorithm {algorithm!r} is not one of {list(family)}")
+    if task == "classification" and algorithm == "gbt" and classes > 2:
+        algorithm = "random_forest"
+    made = family[algorithm]()
+    return made.setSeed(seed) if made.hasParam("seed") else made
+
+
+def settings_for(learner, params: dict[str, Any]) -> dict:
+    """The parameters of one trial that this learner has; linear families search the penalty."""
+    wanted = {
+        "maxIter" if learner.hasParam("stepSize") else "numTrees": params.get("n_estimators"),
+        "maxDepth": params.get("max_depth"),
+        "stepSize" if learner.hasParam("stepSize") else "regParam": params.get("learning_rate"),
+        "subsamplingRate": params.get("subsample"),
+        "featureSubsetStrategy": str(params["colsample"]) if "colsample" in params else None,
+    }
+    return {learner.getParam(k): v for k, v in wanted.items() if v is not None and learner.hasParam(k)}
 
 
 def _evaluator(config: AutoMLConfig):
@@ -149,23 +153,32 @@ def automl(
     train = train.persist()
     judge = _evaluator(config)
     larger = judge.isLargerBetter()
-    tried = []
-    for i, params in enumerate(draw_trials(config)):
-        learner = estimator(params, config.task, classes, config.seed)
-        search = CrossValidator(estimator=learner, estimatorParamMaps=[{}], evaluator=judge, foldCol="_fold",
-                                numFolds=config.folds, parallelism=1)
-        tried.append((i, params, search.fit(train).avgMetrics[0]))
+    trials = list(enumerate(draw_trials(config)))
+    tried, winner = [], None
+    for algorithm in dict.fromkeys(config.algorithms):
+        mine = [(i, p) for i, p in trials if p["algorithm"] == algorithm]
+        if not mine:
+            continue
+        learner = learner_for(algorithm, config.task, classes, config.seed)
+        search = CrossValidator(
+            estimator=learner, estimatorParamMaps=[settings_for(learner, p) for _, p in mine], evaluator=judge,
+            foldCol="_fold", numFolds=config.folds, parallelism=config.parallelism,
+        ).fit(train)
+        scored = [(i, p, s) for (i, p), s in zip(mine, search.avgMetrics)]
+        tried += scored
+        top = max(scored, key=lambda t: t[2] if larger else -t[2])
+        if winner is None or (top[2] > winner[0][2]) == larger and top[2] != winner[0][2]:
+            winner = (top, learner, search.bestModel)
     tried.sort(key=lambda t: -t[2] if larger else t[2])
-    _, best_params, best_score = tried[0]
-    learner = estimator(best_params, config.task, classes, config.seed)
-    held_out = learner.fit(train).transform(test)
+    (_, best_params, best_score), learner, chosen = winner
+    held_out = chosen.transform(test)  # fitted on the training rows only
     train.unpersist()
     metrics = model_metrics(held_out, config.task, classes)
-    final = learner.fit(data.select("features", "label"))
+    final = learner.fit(data.select("features", "label"), settings_for(learner, best_params))
     spark = df.sparkSession
     rows = [(i, p["algorithm"], {k: str(v) for k, v in p.items()}, float(s)) for i, p, s in tried[:20]]
-    trials = spark.createDataFrame(rows, "trial int, algorithm string, params map<string,string>, score double")
-    return AutoMLResult(final, best_params, best_score, trials, metrics, feature_importance(final, features, df))
+    history = spark.createDataFrame(rows, "trial int, algorithm string, params map<string,string>, score double")
+    return AutoMLResult(final, best_params, best_score, history, metrics, feature_importance(final, features, df))
 
 
 def model_metrics(predictions: DataFrame, task: str, classes: int = 2) -> DataFrame:
