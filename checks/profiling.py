@@ -20,11 +20,11 @@ def sql_counts(source: str, cols: dict[str, str]) -> str:
         for c, t in cols.items())
 
 
-def sql_profile(source: str, cols: dict[str, str]) -> str:
+def sql_profile(source: str, cols: dict[str, str], digits: int = 4) -> str:
     parts = []
     for c, t in cols.items():
         stats = ", ".join(
-            f"round({e}, 6) AS {n}" for n, e in {
+            f"round({e}, {digits}) AS {n}" for n, e in {
                 "mean": f"avg({c}::DOUBLE)", "std": f"stddev_samp({c}::DOUBLE)", "min": f"min({c})::DOUBLE",
                 "max": f"max({c})::DOUBLE", "median": f"quantile_cont({c}::DOUBLE, 0.5)",
                 "q25": f"quantile_cont({c}::DOUBLE, 0.25)", "q75": f"quantile_cont({c}::DOUBLE, 0.75)"}.items()
@@ -115,9 +115,9 @@ CHECKS = {
                             sql_load_stats("lineitem", TYPES["lineitem"])),
     "load_stats_dirty": (lambda s, d: P.load_stats(derived(s, d, "dirty")),
                          with_("dirty", body=sql_load_stats("dirty", TYPES["dirty"]))),
-    "profile_lineitem": (lambda s, d: rounded(P.profile(table(s, d, "lineitem"))),
+    "profile_lineitem": (lambda s, d: rounded(P.profile(table(s, d, "lineitem")), 4),
                          sql_profile("lineitem", TYPES["lineitem"])),
-    "profile_dirty": (lambda s, d: rounded(P.profile(derived(s, d, "dirty"))),
+    "profile_dirty": (lambda s, d: rounded(P.profile(derived(s, d, "dirty")), 4),
                       with_("dirty", body=sql_profile("dirty", TYPES["dirty"]))),
     "quantiles_nearest": (
         lambda s, d: P.quantiles(table(s, d, "lineitem"), {"l_extendedprice": [0.25, 0.75], "l_quantity": [0.9]}, "nearest"),

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from checks import profiling
+from checks import drifting, profiling
 
-CHECKS = {**profiling.CHECKS}
+CHECKS = {**profiling.CHECKS, **drifting.CHECKS}
