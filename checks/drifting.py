@@ -277,8 +277,8 @@ CHECKS = {
             f"{sql_psi('o_totalprice', 'orders', 'c', True)} UNION ALL {sql_psi('o_orderpriority', 'orders', 'c', False)}", "score")),
     "prediction_drift": (
         lambda s, d: rounded(D.drift(derived(s, d, "scored").filter(f"l_shipdate < {SPLIT}"), derived(s, d, "scored").filter(f"l_shipdate >= {SPLIT}"), ["prediction"])).select("column", "score", "level"),
-        with_("scored", body=f", a AS (SELECT * FROM scored WHERE l_shipdate < {SPLIT}), b AS (SELECT * FROM scored WHERE l_shipdate >= {SPLIT}) "
-              f"SELECT \"column\", round(score, 6) AS score, {LEVEL} AS level FROM ({sql_psi('prediction', 'a', 'b', True)})")),
+        with_("scored", body=f", early AS (SELECT * FROM scored WHERE l_shipdate < {SPLIT}), late AS (SELECT * FROM scored WHERE l_shipdate >= {SPLIT}) "
+              f"SELECT \"column\", round(score, 6) AS score, {LEVEL} AS level FROM ({sql_psi('prediction', 'early', 'late', True)})")),
     "performance_drift": (_performance, with_("scored", body=perf_sql())),
     "histogram_orders": (
         lambda s, d: rounded(D.histogram(table(s, d, "orders"), ["o_totalprice"])),
@@ -314,7 +314,7 @@ CHECKS = {
                                features_sql("quantile_cont(a, 0.5)", "quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)", TARGET_TAIL, TARGET_SQL)),
     "features_interactions": (
         lambda s, d: features(s, d, scaling="none", encoding="none", interactions=[("l_quantity", "l_extendedprice", "q_x_p")]),
-        features_sql("avg(a)", "0", "1", "f AS categorical__l_returnflag, s AS categorical__l_linestatus, round(a * b, 6) AS interaction__q_x_p")),
+        features_sql("avg(a)", "min(0)", "min(1)", "f AS categorical__l_returnflag, s AS categorical__l_linestatus, round(a * b, 6) AS interaction__q_x_p")),
     "select_features": (
         lambda s, d: rounded(X.select_features(table(s, d, "part"), "p_retailprice", 1)),
         "SELECT 'p_partkey' AS \"column\", round(abs(corr(p_partkey, p_retailprice)), 6) AS score FROM part"),

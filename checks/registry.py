@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from checks import drifting, profiling
+from checks import drifting, operations, profiling
 
-CHECKS = {**profiling.CHECKS, **drifting.CHECKS}
+CHECKS = {**profiling.CHECKS, **drifting.CHECKS, **operations.CHECKS}

@@ -38,9 +38,13 @@ def extract_json(value: Column, schema: str, default: Column | None = None) -> C
     return good if default is None else F.coalesce(good, default)
 
 
+# Every character that separates words, Unicode spaces included.
+WORD_BREAK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
+
+
 def tokens(value: Column) -> Column:
     """Distinct words of a text."""
-    return F.array_distinct(F.filter(F.split(value, r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(value, WORD_BREAK), lambda w: w != ""))
 
 
 def text_change(original: Column, new: Column, keywords: list[str] | None = None) -> Column:
