@@ -149,21 +149,21 @@ def perf_sql() -> str:
 PLAN = dict(target="l_tax", numeric=["l_quantity", "l_extendedprice"], categorical=["l_returnflag", "l_linestatus"])
 
 
-def features(spark, d, keep=("l_orderkey", "l_linenumber"), **options):
+def features(spark, d, keep=("l_orderkey", "l_linenumber"), digits=6, **options):
     line = table(spark, d, "lineitem")
     gap = line.withColumn("l_quantity", F.expr("CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_quantity END"))
     gap = gap.withColumn("l_returnflag", F.expr("CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_returnflag END"))
     model = X.fit_features(gap, X.FeaturePlan(**{**PLAN, **options}))
-    return rounded(model.transform(gap, list(keep)))
+    return rounded(model.transform(gap, list(keep)), digits)
 
 
 GAPS = ("WITH g AS (SELECT l_orderkey, l_linenumber, l_tax, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_quantity END AS a, l_extendedprice AS b, "
         "coalesce(CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_returnflag END, 'missing') AS f, l_linestatus AS s FROM lineitem), ")
 
 
-def features_sql(fill: str, center: str, width: str, tail: str, extra: str = "") -> str:
+def features_sql(fill: str, center: str, width: str, tail: str, extra: str = "", digits: int = 6) -> str:
     def scaled(c: str) -> str:
-        return f"round(({c} - (SELECT {center.format(c=c)} FROM i)) / (SELECT {width.format(c=c)} FROM i), 6)"
+        return f"round(({c} - (SELECT {center.format(c=c)} FROM i)) / (SELECT {width.format(c=c)} FROM i), {digits})"
     return (GAPS + f"i AS (SELECT l_orderkey, l_linenumber, l_tax, coalesce(a, (SELECT {fill} FROM g)) AS a, b, f, s FROM g){extra} "
             f"SELECT {scaled('a')} AS numeric__l_quantity, {scaled('b')} AS numeric__l_extendedprice, {tail}, l_orderkey, l_linenumber, l_tax FROM i")
 
@@ -313,8 +313,8 @@ CHECKS = {
     "features_robust_target": (lambda s, d: features(s, d, scaling="robust", imputation="median", encoding="target"),
                                features_sql("quantile_cont(a, 0.5)", "quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)", TARGET_TAIL, TARGET_SQL)),
     "features_interactions": (
-        lambda s, d: features(s, d, scaling="none", encoding="none", interactions=[("l_quantity", "l_extendedprice", "q_x_p")]),
-        features_sql("avg(a)", "min(0)", "min(1)", "f AS categorical__l_returnflag, s AS categorical__l_linestatus, round(a * b, 6) AS interaction__q_x_p")),
+        lambda s, d: features(s, d, digits=2, scaling="none", encoding="none", interactions=[("l_quantity", "l_extendedprice", "q_x_p")]),
+        features_sql("avg(a)", "min(0)", "min(1)", "f AS categorical__l_returnflag, s AS categorical__l_linestatus, round(a * b, 2) AS interaction__q_x_p", digits=2)),
     "select_features": (
         lambda s, d: rounded(X.select_features(table(s, d, "part"), "p_retailprice", 1)),
         "SELECT 'p_partkey' AS \"column\", round(abs(corr(p_partkey, p_retailprice)), 6) AS score FROM part"),

@@ -60,6 +60,11 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(as_double) < F.lit(float("inf")), as_double)
 
 
+def event_time(df: DataFrame, ts: str) -> Column:
+    """The time column as a zoned timestamp; left alone if it is one, so its watermark is kept."""
+    return ref(ts) if isinstance(df.schema[ts].dataType, T.TimestampType) else ref(ts).cast("timestamp")
+
+
 def slices(items: list, width: int = AGG_WIDTH) -> list[list]:
     return [items[i : i + width] for i in range(0, len(items), width)] or [[]]
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.columns import NESTED, numeric_columns, pick, quoted, ref, slices, text, union_all
+from plumbline.columns import NESTED, event_time, numeric_columns, pick, quoted, ref, slices, text, union_all
 from plumbline.functions.scores import alert_level, chi2_p_value, kolmogorov_p_value
 from plumbline.operators.metrics import classification_metrics, regression_metrics
 from plumbline.operators.profile import dtype_of
@@ -423,7 +423,7 @@ def window_counts(
     df: DataFrame, layout: Layout, ts: str, window: str, slide: str | None = None
 ) -> DataFrame:
     """``window, id, bin, category, n`` of a table or stream."""
-    stamped = df.withColumn("window", F.window(ref(ts).cast("timestamp"), window, slide))
+    stamped = df.withColumn("window", F.window(event_time(df, ts), window, slide))
     return layout.keyed(stamped, ["window"]).groupBy("window", "id", "bin", "category").agg(
         F.count(F.lit(1)).alias("n")
     )

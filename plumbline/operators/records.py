@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.columns import ref, union_all
+from plumbline.columns import event_time, ref, union_all
 from plumbline.functions.text import KEYWORD_STAGES, tag_keywords
 from plumbline.operators.ranks import running
 
@@ -109,7 +109,7 @@ def limit_breaches(
     requests_per_minute: int = 60, tokens_per_minute: int = 100_000,
 ) -> DataFrame:
     """Minutes (per key) over either limit; works on tables and on watermarked streams."""
-    minute = F.window(ref(ts).cast("timestamp"), "1 minute")
+    minute = F.window(event_time(calls, ts), "1 minute")
     counted = calls.groupBy(minute.alias("minute"), *[ref(c) for c in key or []]).agg(
         F.count(F.lit(1)).alias("requests"), F.sum(ref(tokens)).alias("tokens")
     )

@@ -20,7 +20,7 @@ from plumbline.operators.drift import Reference, fit_reference, score_windows, w
 from plumbline.operators.rate_limit import BURST_FACTOR, DEFAULT_RATE, TOKEN, Bucket, micros
 from plumbline.operators.records import limit_breaches
 
-# Fixed value: a bucket unused for this long is forgotten (it is full again by then).
+# Fixed value: a bucket is forgotten after this long without a request, or once full again if later.
 IDLE_SECONDS = 600
 
 
@@ -72,13 +72,15 @@ def stream_limit_breaches(
 
 def stream_rate_limit(
     stream: DataFrame, key: str, ts: str, tie: str, requests_per_minute: int = DEFAULT_RATE, burst: int | None = None,
+    watermark: str = "1 minute",
 ) -> DataFrame:
-    """``key, ts, tie, allowed, retry_after, remaining`` with one token bucket of state per key.
+    """``key, tie, ts_micros, allowed, retry_after, remaining`` with one token bucket of state per key.
 
     A micro-batch's rows are put in time order per key before they are replayed.
     """
     full = (burst or requests_per_minute * BURST_FACTOR) * TOKEN
     rate = requests_per_minute
+    forget_ms = max(IDLE_SECONDS * 1000, -(-full // rate) // 1000 + 1)
     fields = {f.name: f.dataType for f in stream.schema}
     output = T.StructType([
         T.StructField(key, fields[key]), T.StructField(tie, fields[tie]), T.StructField("ts_micros", T.LongType()),
@@ -96,13 +98,13 @@ def stream_rate_limit(
         bucket = Bucket(full, rate, left, last)
         verdicts = [bucket.take(int(now), 1) for now in rows["ts_micros"]]
         state.update((int(bucket.left), int(bucket.last)))
-        state.setTimeoutDuration(IDLE_SECONDS * 1000)
+        state.setTimeoutTimestamp(int(bucket.last) // 1000 + forget_ms)
         allowed, wait, remaining = zip(*verdicts)
         yield rows[[key, tie, "ts_micros"]].assign(allowed=allowed, retry_after=wait, remaining=remaining)
 
-    timed = stream.select(ref(key), ref(tie), micros(ref(ts)).alias("ts_micros"))
+    timed = with_event_time(stream, ts, watermark).select(ref(key), ref(tie), ref(ts), micros(ref(ts)).alias("ts_micros"))
     return timed.groupBy(ref(key)).applyInPandasWithState(
-        take, output, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        take, output, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
