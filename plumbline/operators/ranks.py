@@ -20,6 +20,7 @@ from plumbline.session import materialize
 
 ACCURACY = 10_000
 SAMPLE_ROWS = 150_000
+LARGE_SAMPLE_ROWS = 10_000_000
 # A bracket expected to hold more rows than this is narrowed again before its values are listed.
 BRACKET_ROWS = 100_000
 PART = "_part"
@@ -35,9 +36,13 @@ class Bracket:
     below: int = 0
     low: float | None = None  # None: open end
     high: float | None = None
-    slack: float = 1.0
+    slack: float = 1.0  # widens the margins after a miss
+    spread: tuple[float, float] = (0.0, 1.0)  # share of the rows inside kept by the last narrowing
     narrowed: bool = True
 
+    def expected(self) -> float:
+        return self.inside * (min(1.0, self.spread[1]) - max(0.0, self.spread[0]))
+
     def value(self) -> Column:
         return ref(self.column).cast("double")
 
@@ -52,7 +57,8 @@ class Bracket:
 
 def _narrow(df: DataFrame, brackets: list[Bracket], seed: int) -> None:
     """Tighten each bracket around its rank, judging by a sample of the rows inside."""
-    share = min(1.0, SAMPLE_ROWS / max(b.inside for b in brackets))
+    widest = max(b.inside for b in brackets)
+    share = min(1.0, max(SAMPLE_ROWS, min(widest // 1000, LARGE_SAMPLE_ROWS)) / widest)
     sampled = df.sample(share, seed=seed) if share < 1 else df
     same: dict[tuple, list[Bracket]] = {}
     for b in brackets:
@@ -65,16 +71,16 @@ def _narrow(df: DataFrame, brackets: list[Bracket], seed: int) -> None:
                 drawn = max(b.inside * share, 1.0)
                 margin = b.slack * (2.5 * math.sqrt(1 - share) / math.sqrt(drawn) + 2 / ACCURACY + 1 / drawn)
                 spot = (b.rank - b.below) / max(b.inside - 1, 1)
+                b.spread = (spot - margin, spot + margin)
                 probs += [max(0.0, spot - margin), min(1.0, spot + margin)]
             inside = F.when(group[0].contains(), group[0].value())
             exprs.append(F.percentile_approx(inside, probs, ACCURACY))
         for group, ends in zip(part, sampled.agg(*exprs).first()):
             for i, b in enumerate(group):
                 if ends:
-                    low, high = float(ends[2 * i]), float(ends[2 * i + 1])
-                    # a sample cannot see the outermost values
-                    b.low = b.low if b.rank == b.below else low
-                    b.high = b.high if b.rank == b.below + b.inside - 1 else high
+                    # a sample cannot see the outermost values, so an end it reaches stays open
+                    b.low = float(ends[2 * i]) if b.spread[0] > 0 else b.low
+                    b.high = float(ends[2 * i + 1]) if b.spread[1] < 1 else b.high
 
 
 def _merged(brackets: list[Bracket]) -> list[tuple[float, float]]:
@@ -161,9 +167,7 @@ def values_at(df: DataFrame, ranks: dict[str, list[int]], rows: dict[str, int])
         if wide:
             _narrow(df, wide, seed)
             seed += 1
-            # margins are about 2.5 / sqrt(sample) each way, so this many rows are expected inside
-            still_wide = max(b.inside for b in wide) * 5 / math.sqrt(SAMPLE_ROWS) > 20 * BRACKET_ROWS
-            if still_wide:
+            if max(b.expected() for b in wide) > 20 * BRACKET_ROWS:
                 _recount(df, wide)
                 continue
         found.update(_list_values(df, pending))
