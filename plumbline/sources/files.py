@@ -34,7 +34,10 @@ def mime_type(path):
 
 
 def file_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, name, size_bytes, mime_type, checksum`` of every file (MD5 of its bytes)."""
+    """``path, name, size_bytes, mime_type, checksum`` of every file (MD5 of its bytes).
+
+    Spark's file source passes over empty files, so they are not listed.
+    """
     files = spark.read.format("binaryFile").load(paths)
     return files.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"),

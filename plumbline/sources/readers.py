@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,7 @@ KINDS = {
     "jdbc": "database",
 }
 CONNECTORS = {"s3": "s3a", "az": "abfss"}
+JVM_CHARSETS = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii"}
 PAYLOAD_KEYS = ["data", "results", "items", "records"]
 DEFAULT_TABLE = "data"
 DEFAULT_LIMIT = 100_000
@@ -70,6 +72,12 @@ def _sniff(spark: SparkSession, uri: str) -> str:
     return "parquet" if bytes(first["head"]) == b"PAR1" else "csv"
 
 
+def charset(encoding: str) -> str:
+    """An encoding name as Spark spells it (``latin1`` is ``iso-8859-1``)."""
+    name = codecs.lookup(encoding).name
+    return JVM_CHARSETS.get(name, name)
+
+
 def load(
     spark: SparkSession, source: str | DataFrame, format: str | None = None,
     schema: T.StructType | str | None = None, encoding: str = "utf-8", **options: str,
@@ -89,7 +97,7 @@ def load(
     if schema is not None:
         reader = reader.schema(schema)
     if kind in ("csv", "tsv"):
-        reader = reader.options(header=True, encoding=encoding, sep="\t" if kind == "tsv" else ",")
+        reader = reader.options(header=True, encoding=charset(encoding), sep="\t" if kind == "tsv" else ",")
         if schema is None:
             reader = reader.option("inferSchema", True)
         return reader.csv(spec.uri)
