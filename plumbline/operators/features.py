@@ -22,6 +22,10 @@ from plumbline.session import materialize
 TARGET_NAMES = ["target", "label", "y", "class", "outcome", "result"]
 MISSING = "missing"
 
+# A category table within both bounds is sent to every task instead of shuffling the rows.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 IMPUTATIONS = ("mean", "median", "none")
 SCALINGS = ("standard", "minmax", "robust", "none")
 ENCODINGS = ("onehot", "onehot_sparse", "label", "target", "none")
@@ -83,7 +87,8 @@ class FeatureModel:
     categories: dict[str, list[str]]
     lookups: dict[str, DataFrame]  # column -> (value, code)
     defaults: dict[str, float]
-    sizes: dict[str, int]
+    sizes: dict[str, int]  # categories per lookup
+    text_bytes: dict[str, int]  # and the bytes of their text
     dropped: list[str]
 
     def _numeric(self, c: str) -> Column:
@@ -111,6 +116,8 @@ class FeatureModel:
         plan = self.plan
         for c, table in self.lookups.items():
             named = table.select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+            if self.sizes[c] <= BROADCAST_ROWS and self.text_bytes[c] <= BROADCAST_BYTES:
+                named = F.broadcast(named)
             df = df.join(named, self._category(c) == ref(f"_v_{c}"), "left")
         out = [self._scaled(c).alias(f"numeric__{c}") for c in self.numeric]
         for c in plan.categorical:
@@ -148,7 +155,7 @@ class FeatureModel:
     def save(self, path: str, spark: SparkSession) -> None:
         """Fitted numbers as one JSON row and one Parquet table per category lookup."""
         numbers = {k: getattr(self, k) for k in
-                   ("fills", "centers", "widths", "categories", "defaults", "sizes", "dropped")}
+                   ("fills", "centers", "widths", "categories", "defaults", "sizes", "text_bytes", "dropped")}
         body = json.dumps({"plan": asdict(self.plan), "lookups": list(self.lookups), **numbers})
         spark.createDataFrame([(body,)], "body string").write.mode("overwrite").parquet(f"{path}/model")
         for i, table in enumerate(self.lookups.values()):
@@ -179,15 +186,14 @@ def fit_features(df: DataFrame, plan: FeaturePlan | None = None) -> FeatureModel
     groups = [c for c in pick(df, plan.categorical, []) if c != plan.target and c not in plan.drop_columns]
     plan = FeaturePlan(**{**asdict(plan), "numeric": numbers, "categorical": groups,
                           "interactions": [tuple(i) for i in plan.interactions]})
-    model = FeatureModel(plan, {}, {}, {}, {}, {}, {}, {}, [])
+    model = FeatureModel(plan, {}, {}, {}, {}, {}, {}, {}, {}, [])
     extra = [c for pair in plan.interactions for c in pair[:2] if c not in numbers]
     _fit_numeric(df, model, list(dict.fromkeys(numbers + extra)))
     if plan.encoding == "onehot":
         _fit_onehot(df, model)
     elif plan.encoding in ("label", "onehot_sparse"):
         for c in groups:
-            model.lookups[c], model.sizes[c] = label_codes(df, c)
-            model.defaults[c] = -1.0
+            _keep_lookup(model, c, label_codes(df, c), -1.0)
     elif plan.encoding == "target":
         _fit_target(df, model)
     return model
@@ -252,13 +258,20 @@ def _fit_onehot(df: DataFrame, model: FeatureModel) -> None:
     model.categories = {c: sorted(v) for c, v in model.categories.items()}
 
 
-def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
+def _keep_lookup(model: FeatureModel, col: str, codes: DataFrame, default: float) -> None:
+    """Write a category table once and note its size."""
+    table = materialize(codes)
+    model.lookups[col], model.defaults[col] = table, default
+    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    model.sizes[col], model.text_bytes[col] = size
+
+
+def label_codes(df: DataFrame, col: str) -> DataFrame:
     """``value, code`` with codes 0, 1, ... in text order, ranked without a single-task sort."""
     value = F.coalesce(ref(col).cast("string"), F.lit(MISSING))
     values = df.select(value.alias("value")).distinct().withColumn("one", F.lit(1))
     ranked = running(values, [], ["value"], sums={"rank": "one"})
-    codes = materialize(ranked.select("value", (F.col("rank") - 1).cast("double").alias("code")))
-    return codes, codes.count()
+    return ranked.select("value", (F.col("rank") - 1).cast("double").alias("code"))
 
 
 def _fit_target(df: DataFrame, model: FeatureModel) -> None:
@@ -273,8 +286,8 @@ def _fit_target(df: DataFrame, model: FeatureModel) -> None:
         smooth = (F.coalesce(F.sum(y), F.lit(0.0)) + weight * F.lit(overall)) / (F.count(y) + weight)
         if plan.smoothing == 0:
             smooth = F.coalesce(F.avg(y), F.lit(overall))
-        model.lookups[c] = df.groupBy(model._category(c).alias("value")).agg(smooth.alias("code"))
-        model.defaults[c] = overall
+        codes = df.groupBy(model._category(c).alias("value")).agg(smooth.alias("code"))
+        _keep_lookup(model, c, codes, overall)
 
 
 def select_features(df: DataFrame, target: str, k: int, cols: list[str] | None = None, min_variance: float = 0.0) -> DataFrame:

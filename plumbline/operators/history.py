@@ -13,11 +13,23 @@ from pyspark.sql import functions as F
 from plumbline.columns import ref
 from plumbline.operators.ranks import running
 
+GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+SLICES = 64
+
 
 def _ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*[ref(c) for c in by]).orderBy(*order)))
 
 
+def _first(df: DataFrame, by: list[str], order: list[Column], n: int, ties: list[str]) -> DataFrame:
+    """The first ``n`` rows per key. Above the size Spark limits by itself, slices of a key go first."""
+    if n > GROUP_LIMIT:
+        slot = F.pmod(F.xxhash64(*[ref(c) for c in ties]), F.lit(SLICES))
+        sliced = W.partitionBy(*[ref(c) for c in by], slot).orderBy(*order)
+        df = df.withColumn("_slice_rank", F.row_number().over(sliced)).filter(F.col("_slice_rank") <= n).drop("_slice_rank")
+    return _ranked(df, by, order).filter(F.col("_rank") <= n)
+
+
 def _newest_first(order: list[str]) -> list[Column]:
     return [ref(c).desc() for c in order]
 
@@ -35,12 +47,12 @@ def best(df: DataFrame, key: list[str], score: str, order: list[str]) -> DataFra
 
 def rollback(df: DataFrame, key: list[str], order: list[str], steps: int = 1) -> DataFrame:
     """The version ``steps`` before the newest; keys with too few versions give no row."""
-    return _ranked(df, key, _newest_first(order)).filter(F.col("_rank") == steps + 1).drop("_rank")
+    return _first(df, key, _newest_first(order), steps + 1, order).filter(F.col("_rank") == steps + 1).drop("_rank")
 
 
 def retain(df: DataFrame, key: list[str], order: list[str], n: int = 10) -> DataFrame:
     """The newest ``n`` versions per key."""
-    return _ranked(df, key, _newest_first(order)).filter(F.col("_rank") <= n).drop("_rank")
+    return _first(df, key, _newest_first(order), n, order).drop("_rank")
 
 
 def top_k(
@@ -50,7 +62,7 @@ def top_k(
     order = [ref(score).desc_nulls_last(), *[ref(c).asc() for c in tie or []]]
     if not by:
         return df.orderBy(*order).limit(k)
-    return _ranked(df, by, order).filter(F.col("_rank") <= k).drop("_rank")
+    return _first(df, by, order, k, [score, *(tie or [])]).drop("_rank")
 
 
 def improvement(

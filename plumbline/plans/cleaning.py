@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.columns import numeric_columns, union_all
 from plumbline.operators import cleaning as ops
 from plumbline.operators.profile import table_quality
+from plumbline.session import written
 
 Cleaner = Callable[[DataFrame], DataFrame]
 _CLEANERS: dict[str, Cleaner] = {}
@@ -88,6 +89,9 @@ def clean(df: DataFrame, plan: list[dict[str, Any]] | dict[str, Any] | None = No
     A step has ``operation`` and, where it applies, ``target`` (a column or ``all``), ``strategy`` and
     ``expr``. Fills on different columns that follow each other are fitted together. Unknown
     operations raise; a column the table lacks is an error too.
+
+    A step that shuffles whole rows (or a user's own, of unknown cost) is written to the shared folder
+    when a later step has to fit on it, so the shuffle happens once and fits read only their columns.
     """
     steps = plan.get("cleaning_operations", []) if isinstance(plan, dict) else plan
     todo = list(DEFAULT_PLAN if steps is None else steps)
@@ -102,9 +106,17 @@ def clean(df: DataFrame, plan: list[dict[str, Any]] | dict[str, Any] | None = No
             _fill(out, batch)
         else:
             _apply(out, batch[0])
+            costly = batch[0].get("operation") == "remove_duplicates" or batch[0].get("operation") in _CLEANERS
+            if costly and any(_needs_fit(op) for op in todo):
+                out.df = written(out.df)
+                out.steps[-1].df = out.df
     return out
 
 
+def _needs_fit(op: dict[str, Any]) -> bool:
+    return _is_fill(op) or op.get("operation") in ("remove_outliers", "fix_types", "fix_data_types")
+
+
 def _is_fill(op: dict[str, Any]) -> bool:
     return (op.get("operation") == "handle_missing" and op.get("target", "all") != "all"
             and op.get("strategy", "drop") in ops.FILLS)

@@ -60,3 +60,36 @@ def test_profile_scans_one_per_type_family(spark):
 def test_drop_missing_is_pushed_down(spark):
     text = plan_of(C.drop_missing(lineitem(spark), ["l_tax"]).select(F.col("l_tax")))
     assert "PushedFilters: [IsNotNull(l_tax)]" in text
+
+
+def test_deduplication_runs_once_per_plan(spark):
+    from plumbline.plans.cleaning import clean
+
+    plan = [{"operation": "remove_duplicates"}, {"operation": "handle_missing", "target": "l_tax", "strategy": "mean"},
+            {"operation": "remove_outliers", "target": "l_tax"}]
+    text = plan_of(clean(lineitem(spark), plan).df)
+    assert "Exchange" not in text and "FileScan" in text
+
+
+def test_small_lookups_are_broadcast_and_large_ones_joined(spark, monkeypatch):
+    from plumbline.operators import features as X
+
+    df = lineitem(spark)
+    model = X.fit_features(df, X.FeaturePlan("l_tax", categorical=["l_returnflag"], encoding="label"))
+    assert "BroadcastHashJoin" in plan_of(model.transform(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan_of(model.transform(df))
+        monkeypatch.setattr(X, "BROADCAST_ROWS", 1)
+        assert "BroadcastHashJoin" not in plan_of(model.transform(df))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_retention_is_sliced(spark, monkeypatch):
+    from plumbline.operators.diff import diff
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    whole = H.retain(events, ["event_type"], ["ts", "event_id"], 40)
+    monkeypatch.setattr(H, "GROUP_LIMIT", 10)
+    assert diff(whole, H.retain(events, ["event_type"], ["ts", "event_id"], 40)).count() == 0
