@@ -70,7 +70,7 @@ DERIVED = {
     "runs": (
         "events",
         "SELECT CAST(user_id % 10 AS STRING) AS agent_name, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, "
-        "value AS duration_seconds, CAST(floor(value * 3) AS BIGINT) AS tokens_used, value / 100 AS llm_cost FROM events",
+        "value AS duration_seconds, CAST(floor(value * 3) AS BIGINT) AS tokens_used, value / 100 AS cost FROM events",
     ),
 }
 

@@ -319,10 +319,10 @@ CHECKS = {
         lambda s, d: rounded(X.select_features(table(s, d, "part"), "p_retailprice", 1)),
         "SELECT 'p_partkey' AS \"column\", round(abs(corr(p_partkey, p_retailprice)), 6) AS score FROM part"),
     "hash_split": (_split, f"SELECT event_id, CASE WHEN {md5_number('event_id')} % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM events"),
-    "sample_rows": (lambda s, d: S.auto_sample(table(s, d, "events"), ["event_id"], threshold=1000, size=777).select("event_id", "value"),
+    "sample_rows": (lambda s, d: S.auto_sample(table(s, d, "events"), ["event_id"], threshold=500, size=777).select("event_id", "value"),
                     f"SELECT event_id, value FROM events ORDER BY {md5_number('event_id')}, event_id LIMIT 777"),
     "sample_stratified": (
-        lambda s, d: S.auto_sample(table(s, d, "events"), ["event_id"], threshold=1000, size=500, method="stratified", by=["event_type"]).select("event_id", "event_type"),
+        lambda s, d: S.auto_sample(table(s, d, "events"), ["event_id"], threshold=500, size=500, method="stratified", by=["event_type"]).select("event_id", "event_type"),
         f"SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY {md5_number('event_id')}, event_id) AS rn, "
         "round(count(*) OVER (PARTITION BY event_type) * (500.0::DOUBLE / (SELECT count(*) FROM events))) AS quota FROM events) WHERE rn <= quota"),
     "sample_per_stratum": (

@@ -237,7 +237,7 @@ def breaches_sql(key: str = "", limit: int = 1, closed: str = "true") -> str:
             f"HAVING count(*) > {limit} AND {closed}")
 
 
-CALL_TOTALS = ("count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum(cost), 4) AS cost, round(avg(latency_ms), 4) AS avg_latency_ms, round(max(latency_ms), 4) AS max_latency_ms")
+CALL_TOTALS = ("count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum(cost), 4) AS cost, round(avg(latency_ms), 8) AS avg_latency_ms, round(max(latency_ms), 8) AS max_latency_ms")
 
 CHECKS = {
     "latest": (lambda s, d: H.latest(events(s, d), KEY, ORDER).select(EVENT), ranked(NEWEST, "rn = 1")),
@@ -269,13 +269,13 @@ CHECKS = {
     "artifact_sizes": (lambda s, d: R.artifact_sizes(artifacts(s, d)),
                        f"SELECT job_id, count(*) AS artifacts, sum(size_bytes)::BIGINT AS total_bytes FROM ({ARTIFACTS_SQL}) GROUP BY ROLLUP (job_id)"),
     "usage_rollup": (
-        lambda s, d: rounded(R.usage_rollup(derived(s, d, "calls")), 4),
+        lambda s, d: rounded(rounded(R.usage_rollup(derived(s, d, "calls")), 4, "cost"), 8, "avg_latency_ms", "max_latency_ms"),
         with_("calls", body=f", c AS (SELECT *, CASE WHEN contains(model, '/') THEN split_part(model, '/', 1) ELSE 'unknown' END AS provider FROM calls) "
               f"SELECT agent, model, provider, {CALL_TOTALS} FROM c GROUP BY CUBE (agent, model, provider)")),
     "stage_metrics": (
         lambda s, d: rounded(R.stage_metrics(derived(s, d, "runs")), 4),
         with_("runs", body="SELECT agent_name, count(*) AS runs, round(avg((status = 'completed')::INT), 4) AS success_rate, round(1 - avg((status = 'completed')::INT), 4) AS failure_rate, "
-              "round(avg(duration_seconds), 4) AS avg_seconds, round(max(duration_seconds), 4) AS max_seconds, sum(tokens_used)::BIGINT AS tokens, round(sum(llm_cost), 4) AS cost FROM runs GROUP BY 1")),
+              "round(avg(duration_seconds), 4) AS avg_seconds, round(max(duration_seconds), 4) AS max_seconds, sum(tokens_used)::BIGINT AS tokens, round(sum(cost), 4) AS cost FROM runs GROUP BY 1")),
     "optimization_summary": (
         lambda s, d: rounded(R.optimization_summary(events(s, d).select((F.col("value") / 1000).alias("improvement"), (F.col("value") / 100).alias("original_reward")))),
         "SELECT count(*) AS optimized, round(sum(value / 1000), 6) AS total_improvement, round(avg(value / 100), 6) AS average_reward FROM events"),

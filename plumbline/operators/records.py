@@ -60,7 +60,7 @@ def stage_metrics(runs: DataFrame, success: str = "completed") -> DataFrame:
     return runs.groupBy("agent_name").agg(
         F.count(F.lit(1)).alias("runs"), F.avg(ok).alias("success_rate"), (1 - F.avg(ok)).alias("failure_rate"),
         F.avg("duration_seconds").alias("avg_seconds"), F.max("duration_seconds").alias("max_seconds"),
-        F.sum("tokens_used").alias("tokens"), F.sum("llm_cost").alias("cost"),
+        F.sum("tokens_used").alias("tokens"), F.sum("cost").alias("cost"),
     )
 
 

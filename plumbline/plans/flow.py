@@ -17,7 +17,7 @@ from plumbline.sources.readers import load, resolve_source
 from plumbline.sources.writers import save_stage
 
 STAGE_SCHEMA = """agent_name string, status string, started_at timestamp, completed_at timestamp,
-duration_seconds double, llm_calls int, llm_cost double, tokens_used bigint, error string"""
+duration_seconds double, calls int, cost double, tokens_used bigint, error string"""
 
 
 def preflight(spark: SparkSession, source: str, dest: str | None = None) -> None:

@@ -194,3 +194,30 @@ def test_diff_by_key(spark):
     b = spark.createDataFrame([(1, "x"), (2, None), (4, "z")], "k int, v string")
     assert {(r.k, r.change, r.old, r.new) for r in diff(a, b, ["k"]).collect()} == {
         (2, "changed", "y", None), (3, "removed", None, None), (4, "added", None, None)}
+
+
+def test_wide_correlations_with_nulls_against_pandas(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=400)
+    values = {f"c{i:02d}": base * rng.normal() + rng.normal(size=400) + 1e6 for i in range(14)}
+    for i in (3, 7, 9):
+        values[f"c{i:02d}"][rng.random(400) < 0.3] = np.nan
+    import pandas as pd
+
+    frame = pd.DataFrame(values)
+    rows = [tuple(None if math.isnan(v) else float(v) for v in r) for r in frame.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in frame))
+    want = frame.corr()
+    got = P.correlations(df, threshold=0.0, digits=9).collect()
+    assert len(got) == 14 * 13 // 2
+    for r in got:
+        assert r.correlation == pytest.approx(want.loc[r.column_a, r.column_b], abs=1e-7)
+
+
+def test_fills_on_different_columns_are_fitted_together(noisy, monkeypatch):
+    calls = []
+    fit = C.fit_fills
+    monkeypatch.setattr(C, "fit_fills", lambda df, fills: calls.append(fills) or fit(df, fills))
+    plan = [{"operation": "handle_missing", "target": "v", "strategy": "mean"}, {"operation": "handle_missing", "target": "c", "strategy": "mode"}]
+    done = clean(noisy, plan)
+    assert calls == [{"v": "mean", "c": "mode"}] and done.df.filter("v IS NULL OR c IS NULL").count() == 0

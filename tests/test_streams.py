@@ -58,6 +58,29 @@ def test_audit_against_brute_force(spark, rate, burst):
     assert got == want and not all(ok for ok, _ in want.values())
 
 
+@pytest.mark.parametrize("gap, rate, burst", [(0.3, 60, 5), (0.9, 60, 5), (1.1, 60, 4), (4, 10, 50)])
+def test_one_busy_key_in_many_slices(spark, gap, rate, burst, monkeypatch):
+    """No pause ever fills the bucket, so every slice depends on the one before it."""
+    rng = random.Random(11)
+    rows, now = [], START
+    for i in range(1200):
+        now += timedelta(seconds=rng.expovariate(1 / gap))
+        rows.append((i, "hot" if i % 10 else "other", now, 0.0))
+    rounds = []
+    starts = RL._starts
+    monkeypatch.setattr(RL, "_starts", lambda *a: rounds.append(1) or starts(*a))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = RL.rate_limit_audit(df, "who", "ts", ["id"], rate, burst, partitions=12)
+    assert {r.id: (r.allowed, r.remaining) for r in out.collect()} == brute(rows, rate, burst)
+    assert len(rounds) <= 8, len(rounds)
+
+
+def test_null_keys_share_a_bucket(spark):
+    rows = [(i, None if i % 2 else "a", START + timedelta(milliseconds=i), 0.0) for i in range(60)]
+    out = RL.rate_limit_audit(spark.createDataFrame(rows, SCHEMA), "who", "ts", ["id"], 60, 5, partitions=6)
+    assert {r.id: (r.allowed, r.remaining) for r in out.collect()} == brute(rows, 60, 5)
+
+
 def write_parts(spark, rows, path, parts):
     step = -(-len(rows) // parts)
     for i in range(parts):
