@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import chat, exact_dedup
 from plumbline.llm.common import table
 from plumbline.llm.near_dedup import near_duplicates
 
@@ -14,6 +15,16 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_minmax_near_dedup": (op2_minmax_near_dedup, None),
+    "op3_snapshot_chats": (op3_snapshot_chats, chat.SQL),
+    "op9_heavy_hitter_dedup": (op9_heavy_hitter_dedup, exact_dedup.SQL),
 }
