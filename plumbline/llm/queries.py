@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup
+from plumbline.llm import chat, exact_dedup, pii, sharding
 from plumbline.llm.common import table
 from plumbline.llm.near_dedup import near_duplicates
 
 
+def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards without slack, so counts are at most one apart."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home")
+
+
 def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,8 +30,24 @@ def op9_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+
+    def line(c):
+        return F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+                        F.transform("spans", lambda s: s["score"]).alias("scores"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_minmax_near_dedup": (op2_minmax_near_dedup, None),
     "op3_snapshot_chats": (op3_snapshot_chats, chat.SQL),
     "op9_heavy_hitter_dedup": (op9_heavy_hitter_dedup, exact_dedup.SQL),
+    "op10_personal_data": (op10_personal_data, None),
 }
