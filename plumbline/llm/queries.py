@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, pii, sharding
+from plumbline.llm import chat, exact_dedup, packing, pii, sharding, token_files
 from plumbline.llm.common import table
 from plumbline.llm.near_dedup import near_duplicates
 
@@ -26,6 +26,14 @@ def op3_snapshot_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
+
+
 def op9_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_minmax_near_dedup": (op2_minmax_near_dedup, None),
     "op3_snapshot_chats": (op3_snapshot_chats, chat.SQL),
+    "op4_residual_packing": (op4_residual_packing, None),
+    "op8_addressable_tokens": (op8_addressable_tokens, None),
     "op9_heavy_hitter_dedup": (op9_heavy_hitter_dedup, exact_dedup.SQL),
     "op10_personal_data": (op10_personal_data, None),
 }
