@@ -153,11 +153,15 @@ def _across(left_open: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "others", F.count("*").over(W.partitionBy("c")))
     sized = open_.select("c", "n", "root", "class")
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("others"))
-    first = written(known.join(sized, "c").filter(F.col("at") <= reach).select("t", "c", "n", "root"))
-    a = first.select("t", F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    b = first.select(F.col("t").alias("t2"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+    # how many of its shingles stand at this one or after it
+    known = known.withColumn("left", F.col("others") - F.col("at") + 1)
+    first = written(known.join(sized, "c").filter(F.col("at") <= reach).select("t", "c", "n", "root", "left"))
+    a = first.select("t", F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("root").alias("ru"), F.col("left").alias("lu"))
+    b = first.select(F.col("t").alias("t2"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("root").alias("rv"), F.col("left").alias("lv"))
+    # the first shared shingle and all that can follow it on either side must still make up the wanted overlap
+    enough = (100 + percent) * F.least("lu", "lv") >= percent * (F.col("nu") + F.col("nv"))
     pairs = a.join(b, (F.col("t") == F.col("t2")) & (F.col("cu") < F.col("cv")) & (F.col("ru") != F.col("rv"))
-                   & _reachable("nu", "nv", percent) & _reachable("nv", "nu", percent)).select("cu", "cv").distinct()
+                   & _reachable("nu", "nv", percent) & _reachable("nv", "nu", percent) & enough).select("cu", "cv").distinct()
     named = open_.select("c", "class")
     pairs = pairs.join(named.toDF("cu", "cu_class"), "cu").join(named.toDF("cv", "cv_class"), "cv")
     return pairs.select(F.greatest("cu_class", "cv_class").alias("u"), F.least("cu_class", "cv_class").alias("v")).distinct()
