@@ -15,7 +15,7 @@ from plumbline.session import written
 __all__ = ["MASK", "graph_components", "mix", "narrow", "slices_of", "table", "text_bytes", "word_hashes", "written"]
 
 MASK = (1 << 64) - 1
-SLICE = 1 << 20
+SLICE = 1 << 19
 _P = 0x9E3779B97F4A7C15
 
 

@@ -9,7 +9,7 @@ How hot groups are met:
 
 - Documents with the same set are one class before anything is joined, so copies cost one row each.
 - A band bucket is compared as a star: each member with the bucket's smallest member. After that only buckets
-  that still hold several components are looked at again, first by TURNS more stars with other centers. What is
+  that still hold several components are looked at again, first by TURNS more stars with another center. What is
   then still open is compared across components only, and only where two documents share one of their rarest
   shingles: neither a large group of near copies nor a passage that many documents share costs its square.
 - Links become components by star steps on distributed edges.
@@ -39,7 +39,7 @@ WIDTH = 5
 PERMUTATIONS = 64
 ROWS = 4
 PERCENT = 75
-TURNS = 2
+TURNS = 1
 
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _SEEDS[:PERMUTATIONS] | np.uint64(1), _SEEDS[PERMUTATIONS:]
