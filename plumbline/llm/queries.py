@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, packing, pii, sharding, token_files, toxicity
+from plumbline.llm import chat, decontamination, exact_dedup, packing, pii, sharding, token_files, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.near_dedup import near_duplicates
 
@@ -37,6 +37,12 @@ def op5_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", F.transform("matches", lambda m: m["item_id"]).alias("item_ids"),
+                        F.transform("matches", lambda m: m["distance"]).alias("distances"))
+
+
 def op8_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_snapshot_chats": (op3_snapshot_chats, chat.SQL),
     "op4_residual_packing": (op4_residual_packing, None),
     "op5_subsequence_toxicity": (op5_subsequence_toxicity, None),
+    "op6_pigeonhole_decontamination": (op6_pigeonhole_decontamination, None),
     "op8_addressable_tokens": (op8_addressable_tokens, None),
     "op9_heavy_hitter_dedup": (op9_heavy_hitter_dedup, exact_dedup.SQL),
     "op10_personal_data": (op10_personal_data, None),
