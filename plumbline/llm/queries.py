@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, exact_dedup, packing, pii, sharding, token_files, toxicity
+from plumbline.llm import chat, decontamination, exact_dedup, packing, pii, sharding, suffix_dedup, token_files, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.near_dedup import near_duplicates
 
@@ -43,6 +43,12 @@ def op6_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         F.transform("matches", lambda m: m["distance"]).alias("distances"))
 
 
+def op7_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_residual_packing": (op4_residual_packing, None),
     "op5_subsequence_toxicity": (op5_subsequence_toxicity, None),
     "op6_pigeonhole_decontamination": (op6_pigeonhole_decontamination, None),
+    "op7_induced_suffix_dedup": (op7_induced_suffix_dedup, None),
     "op8_addressable_tokens": (op8_addressable_tokens, None),
     "op9_heavy_hitter_dedup": (op9_heavy_hitter_dedup, exact_dedup.SQL),
     "op10_personal_data": (op10_personal_data, None),
