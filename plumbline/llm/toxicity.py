@@ -1,8 +1,8 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
 Kernel. A word is seen through all its subsequences of three letters within SPAN letters, weighted by DECAY to
-the power of the letters they stretch over; two words are as similar as the product of these profiles, scaled by length and
-squared. Inserted, doubled or missing letters and dots between letters leave most subsequences in place.
+the power of the letters they stretch over (a word's first and last place count as letters); two words are as similar as the product of these profiles, scaled by length and
+cubed. Inserted, doubled or missing letters and dots between letters leave most subsequences in place.
 
 Features. LANDMARKS words stand for the whole space (Nyström): a word's similarities to them, turned by the inverse root of
 the landmarks' own kernel matrix, are its coordinates, and a linear SVM (squared hinge) is fitted on these. At scoring time both steps
@@ -40,6 +40,7 @@ LETTERS = 40
 SPAN = 7
 DECAY = 0.7
 WINDOW = 24
+FIRST, LAST = "<>"
 LANDMARKS = 128
 SAMPLE = {1: 4_000, 0: 12_000}
 NEGATIVES = 8_000
@@ -62,7 +63,7 @@ def units(token: str) -> list[str]:
     out = []
     for word in runs:
         if len(word) <= WINDOW:
-            out.append(word)
+            out.append(FIRST + word + LAST)
         else:
             out += [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
     return out
@@ -84,7 +85,8 @@ def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
 def _codes(words: list[str], length: int) -> np.ndarray:
     """(words, subsequences) of table indices."""
     points = np.array([[ord(c) for c in w] for w in words], np.int64).reshape(len(words), length)
-    letters = np.where((points >= 97) & (points <= 122), points - 97, 26 + points % (LETTERS - 26))
+    letters = np.where((points >= 97) & (points <= 122), points - 97, 26 + points % (LETTERS - 28))
+    letters = np.where(points == ord(FIRST), LETTERS - 2, np.where(points == ord(LAST), LETTERS - 1, letters))
     at, _ = _places(length)
     return (letters[:, at[:, 0]] * LETTERS + letters[:, at[:, 1]]) * LETTERS + letters[:, at[:, 2]]
 
@@ -111,7 +113,7 @@ def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
             part = rows[low : low + 256]
             codes = _codes([words[i] for i in part], length)
             out[part] = np.einsum("wsm,s->wm", table[codes], weight)
-    return out * out
+    return out**3
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 30) -> np.ndarray:
@@ -253,9 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     expected1, expected0 = both * (total1 / (total1 + total0)), both * (total0 / (total1 + total0))
     part = lambda seen, exp: F.when(seen > 0, 2 * seen * F.log(seen / exp)).otherwise(0.0)
     strength = part(F.col("t"), expected1) + part(F.col("c"), expected0)
-    usable = counted.filter(F.length("word") >= 3)
+    usable = counted.filter(F.length("word") >= 5)
     strong = usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("g") >= STRONG) & (F.col("c") <= 0.1 * F.col("t")))
-    positive = [r["word"] for r in strong.orderBy(F.desc("g"), "word").limit(NEGATIVES // 4).collect()]
+    telling = strong.orderBy(F.desc("g"), "word").limit(NEGATIVES // 4).select("word", "t").collect()
+    positive = [r["word"] for r in telling]
     if len(positive) < 5:  # few labels: the most telling words there are
         positive = [r["word"] for r in usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("c") == 0)).orderBy(F.desc("g"), "word").limit(20).collect()]
     clean = usable.filter((F.col("c") > 0.1 * F.col("t")) & (F.col("c") > 0))
@@ -263,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     negative += [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(NEGATIVES // 4).collect()]
     if not positive or not negative:
         return Model(share=n1 / (n1 + n0))
+    seen = {r["word"]: r["t"] for r in telling}
     landmarks = list(dict.fromkeys(positive[: LANDMARKS // 2] + negative[: LANDMARKS - min(len(positive), LANDMARKS // 2)]))
     table = profiles(landmarks)
     values, vectors = np.linalg.eigh(kernel(landmarks, table).astype(float) + 1e-4 * np.eye(len(landmarks)))
@@ -271,7 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for turn in range(ROUNDS):
         words = positive + list(dict.fromkeys(negative))
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(words) - len(positive))])
-        weight = np.where(y > 0, 0.5 * len(words) / len(positive) / 4, 1.0)
+        weight = np.ones(len(words))
+        # all positive words together weigh an eighth of the rows, each by the root of its sentences
+        often = np.sqrt([float(seen.get(w, 1)) for w in positive])
+        weight[: len(positive)] = len(words) / 8 * often / often.sum()
         w = squared_hinge(kernel(words, table).astype(float) @ root, y, weight)
         model = Model(landmarks, (root @ w[:-1]).tolist(), float(w[-1]))
         if turn < ROUNDS - 1:
