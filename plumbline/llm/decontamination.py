@@ -156,3 +156,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     texts = narrow(docs, id_col, text_col)
     found = texts.select("doc_id", matches(texts, benchmark, error=error).alias("matches"))
     return found.select("doc_id", "matches", F.size("matches").cast("long").alias("n_items"), (F.size("matches") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error: float = ERROR) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item."""
+    return docs.filter(F.size(matches(docs, benchmark, text_col, error)) == 0)

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import narrow, written
+from plumbline.columns import ref
+from plumbline.llm.common import keep_rows, narrow, written
 
 HEAVY = 1000
 TRACKED = 20_000
@@ -61,6 +62,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one row left of each group of equal texts."""
+    found = written(exact_duplicates(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"))
+    return keep_rows(docs, found.filter("kept").select("doc_id", "text_sha256"), found.select("doc_id", "text_sha256"), digest(ref(text_col)), id_col)
+
+
 # The same rows in DuckDB.
 SQL = r"""
 WITH n AS (

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import graph_components, mix, narrow, signed, slices_of, text_bytes, word_hashes, written
+from plumbline.columns import ref
+from plumbline.llm.common import graph_components, keep_rows, mix, narrow, signed, slices_of, text_bytes, word_hashes, written
 
 WIDTH = 5
 PERMUTATIONS = 64
@@ -103,10 +104,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [s for s in sets if len(s)]
             keys = iter(signed(band_keys(min_max(full)))) if full else iter(())
             yield pa.record_batch(
-                [batch.column("doc_id").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id").slice(low, high - low), batch.column("text_hash").slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_class_key(s) if len(s) else empty for s in sets], pa.binary()),
                  pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "bands"])
+                names=["doc_id", "text_hash", "n_shingles", "class", "bands"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +169,10 @@ def _across(left_open: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by confirmed links) and kept, one row a document."""
-    texts = narrow(docs, id_col, text_col)
-    signed_docs = written(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, class binary, bands array<long>"))
+    """doc_id, n_shingles, component_id (smallest id reachable by confirmed links), kept, text_hash and component_key (null
+    without a set), one row for each row of ``docs``."""
+    texts = narrow(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    signed_docs = written(texts.mapInArrow(_signatures, "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>"))
     classes = written(signed_docs.filter("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
         F.count("*").alias("copies")))
@@ -207,7 +209,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.select("class", "first_id").join(joined.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left")
     rooted = rooted.select("class", "first_id", F.coalesce("root", "class").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    answer = rooted.join(named, "root").select("class", "component_id")
-    full = signed_docs.filter("n_shingles > 0").join(answer, "class").select("doc_id", "n_shingles", "component_id")
-    none = signed_docs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    answer = rooted.join(named, "root").select("class", "root", "component_id")
+    full = signed_docs.filter("n_shingles > 0").join(answer, "class").select(
+        "doc_id", "n_shingles", "component_id", "text_hash", F.hex("root").alias("component_key"))
+    none = signed_docs.filter("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("string").alias("component_key"))
+    return full.union(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "component_key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row left of every component: the smallest id (nulls last), then text hash."""
+    found = written(near_duplicates(docs, id_col, text_col, percent))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
+    firsts = found.filter("component_key is not null").groupBy("component_key").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_hash")
+    keys = firsts.union(found.filter("component_key is null").select("doc_id", "text_hash").distinct())
+    return keep_rows(docs, keys, found.select("doc_id", "text_hash"), F.xxhash64(F.coalesce(ref(text_col), F.lit(""))), id_col)

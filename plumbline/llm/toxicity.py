@@ -31,9 +31,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.columns import ref
 from plumbline.llm.common import narrow, written
 
 LETTERS = 40
@@ -312,17 +313,29 @@ def _margin_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def probability(model: Model):
-    """Column: the score of the margin column."""
+def probability(model: Model, margin: Column) -> Column:
+    """The score of a margin."""
     if model.share is not None:
         return F.lit(float(model.share))
-    return 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.shift)))
+    return 1 / (1 + F.exp(-(margin * model.slope + model.shift)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, margin and score, one row for each row of ``docs``."""
     rows = narrow(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return _margin_rows(rows, model).withColumn("score", probability(model))
+    return _margin_rows(rows, model).withColumn("score", probability(model, F.col("margin")))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``limit``."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = _margins(model)
+        for batch in batches:
+            yield pa.array(_text_margins(batch, known), pa.float64())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    margin = F.arrow_udf(run, "double")(F.coalesce(ref(text_col), F.lit("")).cast("binary"))
+    return docs.filter(probability(model, margin) < limit)
 
 
 def teaching(labels: DataFrame) -> DataFrame:
