@@ -47,7 +47,9 @@ SAMPLE = {1: 4_000, 0: 12_000}
 NEGATIVES = 8_000
 HARD = 3_000
 ROUNDS = 3
-STRONG = 30.0
+CHANCE = 0.05
+RIDGE = 0.05
+MOST = 1.0
 CACHE = 700_000
 BLOCK = 1 << 20
 
@@ -117,7 +119,7 @@ def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
     return out**3
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 30) -> np.ndarray:
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1, steps: int = 30) -> np.ndarray:
     """Weights, bias last, of a linear SVM with squared hinge loss, by Newton steps on the active rows."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = penalty * np.eye(x.shape[1])
@@ -173,7 +175,8 @@ class Margins(dict):
         self.model, self.table, self.weights = model, profiles(model.landmarks), np.array(model.weights, np.float32)
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        return kernel(words, self.table) @ self.weights + self.model.bias
+        # a word that lies further out than the taught ones is no surer than these
+        return np.minimum(kernel(words, self.table) @ self.weights + self.model.bias, MOST)
 
     def learn(self, missing: list[bytes]) -> None:
         if len(self) + len(missing) > CACHE:
@@ -250,18 +253,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model(share=n1 / (n1 + n0) if n1 + n0 else 0.0)
-    sums = counted.agg(F.sum("t"), F.sum("c")).first()
+    sums = counted.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
     total1, total0 = float(sums[0] or 1), float(sums[1] or 1)
     both = F.col("t") + F.col("c")
     expected1, expected0 = both * (total1 / (total1 + total0)), both * (total0 / (total1 + total0))
     part = lambda seen, exp: F.when(seen > 0, 2 * seen * F.log(seen / exp)).otherwise(0.0)
     strength = part(F.col("t"), expected1) + part(F.col("c"), expected0)
     usable = counted.filter(F.length("word") >= 5)
-    strong = usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("g") >= STRONG) & (F.col("c") <= 0.1 * F.col("t")))
+    # so strong that among all words tested hardly one is expected by chance
+    least = 2 * float(np.log((sums[2] or 1) / CHANCE))
+    strong = usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("g") >= least) & (F.col("c") <= 0.1 * F.col("t")))
     telling = strong.orderBy(F.desc("g"), "word").limit(NEGATIVES // 4).select("word", "t").collect()
     positive = [r["word"] for r in telling]
-    if len(positive) < 5:  # few labels: the most telling words there are
-        positive = [r["word"] for r in usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("c") == 0)).orderBy(F.desc("g"), "word").limit(20).collect()]
+    if not positive:  # few labels: the most telling words there are
+        positive = [r["word"] for r in usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("c") == 0)).orderBy(F.desc("g"), "word").limit(5).collect()]
     clean = usable.filter((F.col("c") > 0.1 * F.col("t")) & (F.col("c") > 0))
     negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
     negative += [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(NEGATIVES // 4).collect()]
@@ -270,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = {r["word"]: r["t"] for r in telling}
     landmarks = list(dict.fromkeys(positive[: LANDMARKS // 2] + negative[: LANDMARKS - min(len(positive), LANDMARKS // 2)]))
     table = profiles(landmarks)
-    values, vectors = np.linalg.eigh(kernel(landmarks, table).astype(float) + 1e-4 * np.eye(len(landmarks)))
-    root = (vectors / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
+    values, vectors = np.linalg.eigh(kernel(landmarks, table).astype(float) + RIDGE * np.eye(len(landmarks)))
+    root = (vectors / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
     model = Model(landmarks)
     for turn in range(ROUNDS):
         words = positive + list(dict.fromkeys(negative))
