@@ -220,6 +220,14 @@ def _automl_numbers(spark, d):
                      _small("regression", algorithms=["random_forest", "linear"])).metrics
 
 
+def _history(spark, d):
+    """Algorithms of all trials of a search with the documented number of them."""
+    config = ML.AutoMLConfig("classification", ["logistic", "random_forest"], trials=30, folds=2,
+                             space={"n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 3), "learning_rate": ("log", 0.01, 0.3)})
+    found = ML.automl(_labelled(spark, d), ["n_chars", "words"], "quality", ["doc_id"], config)
+    return found.trials.groupBy("algorithm").agg(F.count(F.lit(1)).alias("trials"))
+
+
 def _permuted(spark, d):
     part = table(spark, d, "part")
     data = ML.assemble(part, ["p_partkey", "p_size"], "p_retailprice")
@@ -328,6 +336,9 @@ CHECKS = {
     "sample_per_stratum": (
         lambda s, d: S.sample_strata(table(s, d, "part"), ["p_type"], ["p_partkey"], per_stratum=20).select("p_partkey", "p_type"),
         f"SELECT p_partkey, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY {md5_number('p_partkey')}, p_partkey) AS rn FROM part) WHERE rn <= 20"),
+    "sample_repeated_keys": (
+        lambda s, d: S.sample_strata(table(s, d, "events"), ["event_type"], ["user_id"], per_stratum=40).select("event_id", "event_type"),
+        f"SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY {md5_number('user_id')}, user_id, event_id) AS rn FROM events) WHERE rn <= 40"),
     "sample_systematic": (
         lambda s, d: S.sample_systematic(table(s, d, "events"), ["ts", "event_id"], 7).select("event_id"),
         "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events) WHERE i % 7 = 0"),
@@ -337,6 +348,8 @@ CHECKS = {
     "ensemble_vote": (
         lambda s, d: ML.ensemble(_ensemble_inputs(s, d)[0], _ensemble_inputs(s, d)[1], "prediction", vote=True),
         ENSEMBLE + "SELECT l_orderkey, l_linenumber, CASE WHEN a + b + c >= 2 THEN 1 ELSE 0 END AS prediction FROM x"),
+    "trial_history_30": (
+        _history, "SELECT algorithm, count(*) AS trials FROM (SELECT CASE WHEN i % 2 = 0 THEN 'logistic' ELSE 'random_forest' END AS algorithm FROM (SELECT unnest(range(30)) AS i)) GROUP BY 1"),
     "automl_trials": (lambda s, d: _automl(s, d).trials.select("trial", "algorithm", "score"), None),
     "automl_regression_metrics": (_automl_numbers, None),
     "feature_importance": (lambda s, d: _automl(s, d).importance, None),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.drifting import md5_number
 from checks.common import derived, rounded, scratch, table, with_
 from plumbline.functions import rules as V
 from plumbline.functions import scores as SC
@@ -174,8 +175,27 @@ def _payloads(spark, d):
     return unpack_json_payload(spark.sql(sql, events=events(spark, d)), "payload", "k INT", ["event_id"])
 
 
-def stream_of(spark, d, name: str):
-    return load_stream(spark, f"{d}/{name}*.parquet", table(spark, d, name).schema, "parquet")
+STREAM_FILES = 6
+
+
+def _build_model(spark, d):
+    """Trains: a linear model has a closed form, so its errors on the held-out rows are known."""
+    config = ML.AutoMLConfig("regression", ["linear"], trials=1, folds=2, space={})
+    made = build(spark, table(spark, d, "part").select("p_partkey", "p_retailprice"), ["p_partkey"], features=X.FeaturePlan("p_retailprice", ["p_partkey"]), model=config)
+    return rounded(made.model.metrics, 3).withColumn("rows", F.lit(made.table.count()))
+
+
+def stream_of(spark, d, name: str, order: str = "ts"):
+    """The table as a stream of several micro-batches, one file each, in the order of time (or of a key)."""
+    rows = table(spark, d, name)
+    path = scratch(spark, f"stream-{name}")
+    value = (F.col(order).cast("timestamp") if order == "ts" else F.col(order)).cast("double")
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    part = F.least(F.lit(STREAM_FILES - 1), F.floor((value - low) / ((high - low) or 1.0) * STREAM_FILES))
+    for i in range(STREAM_FILES):
+        # written one after the other, so that the source lists them in this order
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return load_stream(spark, path, rows.schema, "parquet", maxFilesPerTrigger="1")
 
 
 def _run(stream, spark):
@@ -190,7 +210,7 @@ def _stream_drift(spark, d):
 
     job = J.stream_drift(stream_of(spark, d, "events"), events(spark, d), "ts", ["event_type", "value"], "5 days", "1 hour", sink=sink)
     job.option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    out = rounded(spark.read.parquet(path)).drop("batch_id").filter("column = 'event_type'")
+    out = rounded(spark.read.parquet(path)).drop("batch_id")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -198,7 +218,7 @@ def _stream_score(spark, d):
     part = table(spark, d, "part")
     fitted = X.fit_features(part, X.FeaturePlan("p_retailprice", ["p_partkey"], scaling="minmax"))
     model = ML.LinearRegression(regParam=0.0).fit(ML.assemble(fitted.transform(part), ["numeric__p_partkey"], "p_retailprice"))
-    out = _run(ML.score(stream_of(spark, d, "part"), fitted, model, ["p_partkey"]), spark)
+    out = _run(ML.score(stream_of(spark, d, "part", "p_partkey"), fitted, model, ["p_partkey"]), spark)
     return out.withColumn("prediction", F.round("prediction", 1))
 
 
@@ -209,8 +229,18 @@ def _stream_breaches(spark, d):
 
 
 def window_sql() -> str:
+    from checks.drifting import LEVEL
     from checks.drifting import window_sql as whole
-    return f"SELECT * FROM ({whole(5)}) WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+    step = "INTERVAL 5 DAY"
+    value = (
+        "WITH e AS (SELECT min(value) AS lo, (max(value) - min(value)) / 10 AS w FROM events), "
+        f"v AS (SELECT time_bucket({step}, ts, TIMESTAMP '1970-01-01') AS s, least(9, floor((value - lo) / w))::INT AS b FROM events, e), "
+        "r AS (SELECT g.b, greatest(count(v.b) / (SELECT count(*) FROM v)::DOUBLE, 0.0001) AS p FROM (SELECT unnest(range(10)) AS b) g LEFT JOIN v USING (b) GROUP BY 1), "
+        "t AS (SELECT s, count(*) AS rows FROM v GROUP BY 1), n AS (SELECT s, b, count(*) AS n FROM v GROUP BY 1, 2), "
+        "x AS (SELECT t.s, t.rows, least(abs(sum((greatest(coalesce(n, 0) / t.rows::DOUBLE, 0.0001) - p) * ln(greatest(coalesce(n, 0) / t.rows::DOUBLE, 0.0001) / p))), 1.0) AS score "
+        "FROM t CROSS JOIN r LEFT JOIN n ON n.s = t.s AND n.b = r.b GROUP BY 1, 2) "
+        f"SELECT s AS window_start, s + {step} AS window_end, 'value' AS \"column\", rows, round(score, 6)::DOUBLE AS score, {LEVEL} AS level FROM x")
+    return f"SELECT * FROM (SELECT * FROM ({whole(5)}) UNION ALL SELECT * FROM ({value})) WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
 PART_PLAN = dict(target="p_retailprice", numeric=["p_partkey", "p_size"], categorical=["p_type"])
@@ -322,8 +352,8 @@ CHECKS = {
         "SELECT event_id, round(value * 2 + user_id, 6) AS score FROM events"),
     "unpack_json_payload": (_payloads, PAYLOADS_SQL),
     "stream_drift": (_stream_drift, window_sql()),
-    "stream_dedup": (lambda s, d: _run(J.stream_dedup(stream_of(s, d, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type"), s),
-                     "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_dedup": (lambda s, d: _run(J.stream_dedup(stream_of(s, d, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")), s),
+                     "SELECT DISTINCT user_id, event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour FROM events"),
     "stream_limit_breaches": (
         _stream_breaches,
         "WITH w AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM events) SELECT * FROM (" + breaches_sql() + ") WHERE minute + INTERVAL 1 MINUTE <= (SELECT mark FROM w)"),
@@ -334,5 +364,10 @@ CHECKS = {
         "WITH f AS (SELECT regr_slope(p_retailprice, p_partkey) AS m, regr_intercept(p_retailprice, p_partkey) AS b FROM part) "
         "SELECT p_partkey, round(b + m * p_partkey, 1) AS prediction FROM part, f"),
     "build_flow": (_build, BUILD_SQL.format(types=", ".join(f"(p_type = '{t}')::INT::DOUBLE AS categorical__p_type_{t}" for t in TYPES))),
+    "build_flow_model": (
+        _build_model,
+        f"WITH h AS (SELECT *, {md5_number('p_partkey')} % 100 AS slot FROM part), f AS (SELECT regr_slope(p_retailprice, p_partkey) AS m, regr_intercept(p_retailprice, p_partkey) AS b FROM h WHERE slot < 80), "
+        "e AS (SELECT p_retailprice AS y, p_retailprice - b - m * p_partkey AS e FROM h, f WHERE slot >= 80), x AS (SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, var_pop(y) AS v FROM e) "
+        "SELECT unnest(['mse', 'rmse', 'mae', 'r2']) AS metric, round(unnest([mse, sqrt(mse), mae, 1 - mse / v]), 3) AS value, (SELECT count(*) FROM part) AS rows FROM x"),
     "monitor_targets": (_monitor, TARGETS_SQL + " UNION SELECT 'features'"),
 }

@@ -110,6 +110,16 @@ def _user_cleaner(spark, d):
     return rounded(clean(derived(spark, d, "dirty"), plan).df)
 
 
+# 24 numeric columns, each null in its own rows.
+WIDE = [f"c{i}" for i in range(24)]
+WIDE_COLS = ", ".join(f"CASE WHEN event_id % {i + 3} = 1 THEN NULL ELSE value * {i % 5 + 1} + (event_id * {i + 7}) % {i + 11} END AS c{i}" for i in range(24))
+WIDE_SQL = f"WITH wide AS (SELECT {WIDE_COLS} FROM events) "
+
+
+def _wide(spark, d):
+    return spark.sql(f"SELECT {WIDE_COLS} FROM {{events}}", events=table(spark, d, "events"))
+
+
 CHECKS = {
     "load_stats_lineitem": (lambda s, d: P.load_stats(table(s, d, "lineitem")),
                             sql_load_stats("lineitem", TYPES["lineitem"])),
@@ -144,6 +154,8 @@ CHECKS = {
                           sql_correlations("part", ["p_partkey", "p_size", "p_retailprice"], 0.3, 3)),
     "correlations_lineitem": (lambda s, d: P.correlations(table(s, d, "lineitem"), threshold=0.0, digits=6),
                               sql_correlations("lineitem", LINE_NUMBERS, 0.0, 6)),
+    "correlations_wide": (lambda s, d: P.correlations(_wide(s, d), threshold=0.0, digits=6),
+                          WIDE_SQL + sql_correlations("wide", WIDE, 0.0, 6)),
     "correlations_dirty": (lambda s, d: P.correlations(derived(s, d, "odd"), threshold=0.0, digits=6),
                            with_("odd", body=sql_correlations("odd", ["event_id", "user_id", "value"], 0.0, 6))),
     "highest_correlation_part": (
@@ -274,8 +286,16 @@ def _formats():
         save_report(P.load_stats(table(spark, d, "lineitem")), path)
         return load(spark, path, format="jsonl", schema="column string, dtype string, row_count bigint, column_count int, null_count bigint, null_percent double")
 
+    def document(spark, d):
+        """All columns, the timestamp too, through one JSON file extension."""
+        path = scratch(spark, "orders") + ".json"
+        rows = table(spark, d, "orders")
+        save(rows, path)
+        return load(spark, path, schema=rows.schema)
+
     made = {f"source_{k}": (through(k), sql) for k in ("csv", "tsv", "jsonl", "orc", "parquet")}
     made["source_unknown_extension"] = (inferred, sql)
+    made["source_json"] = (document, "SELECT * FROM orders")
     made["sink_stage_partitioned"] = (staged, sql)
     made["sink_report_json"] = (reported, sql_load_stats("lineitem", TYPES["lineitem"]))
     return made

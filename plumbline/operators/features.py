@@ -71,9 +71,9 @@ def split_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
 
 
 def default_feature_plan(df: DataFrame, target: str | None = None) -> FeaturePlan:
-    """Last column as target, first 20 double/bigint columns, first 10 text columns."""
+    """Last column as target, all double and bigint columns, all text columns."""
     numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.LongType))]
-    return FeaturePlan(target or df.columns[-1], numbers[:20], categorical=string_columns(df)[:10])
+    return FeaturePlan(target or df.columns[-1], numbers, categorical=string_columns(df))
 
 
 @dataclass

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -18,11 +20,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.columns import numeric_columns, ref, union_all
-from plumbline.operators.features import FeatureModel
+from plumbline.operators.features import FeatureModel, FeaturePlan, fit_features
 from plumbline.operators.metrics import classification_metrics, regression_metrics, roc_auc
 from plumbline.operators.ranks import running
 from plumbline.operators.sampling import hash_number, hash_split
@@ -38,6 +41,7 @@ SEARCH_SPACE = {
 TRIALS = 30
 FOLDS = 5
 SEED = 42
+MAX_CLASSES = 1000
 
 CLASSIFIERS = {"gbt": GBTClassifier, "random_forest": RandomForestClassifier, "logistic": LogisticRegression}
 REGRESSORS = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor, "linear": LinearRegression}
@@ -67,11 +71,14 @@ def default_automl_config(task: str) -> AutoMLConfig:
     return AutoMLConfig(task)
 
 
-def assemble(df: DataFrame, features: list[str], target: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``features`` vector and ``label`` column (rows with a null feature or label are left out)."""
+def assemble(df: DataFrame, features: list[str], target: str | None = None, keep: list[str] | None = None, invalid: str = "error") -> DataFrame:
+    """``features`` vector and ``label`` column; rows without a label are left out.
+
+    A null or NaN feature is an error, as it should be imputed first; ``invalid="skip"`` leaves its row out.
+    """
     inputs = df.select(*[ref(c) for c in dict.fromkeys(features + (keep or []))],
                        *([ref(target).cast("double").alias("label")] if target else []))
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid=invalid)
     made = assembler.transform(inputs)
     if target:
         made = made.filter(F.col("label").isNotNull())
@@ -97,18 +104,22 @@ def draw_trials(config: AutoMLConfig) -> list[dict[str, Any]]:
 
 
 def learner_for(algorithm: str, task: str, classes: int = 2, seed: int = SEED):
-    """An untuned Spark ML estimator. Boosting is binary only, so more classes use a forest."""
+    """An untuned Spark ML estimator. Boosting is binary in Spark, so more classes are boosted one against the rest."""
     family = CLASSIFIERS if task == "classification" else REGRESSORS
     if algorithm not in family:
         raise ValueError(f"algorithm {algorithm!r} is not one of {list(family)}")
-    if task == "classification" and algorithm == "gbt" and classes > 2:
-        algorithm = "random_forest"
     made = family[algorithm]()
-    return made.setSeed(seed) if made.hasParam("seed") else made
+    made = made.setSeed(seed) if made.hasParam("seed") else made
+    if task == "classification" and algorithm == "gbt" and classes > 2:
+        return OneVsRest(classifier=made)
+    return made
 
 
 def settings_for(learner, params: dict[str, Any]) -> dict:
     """The parameters of one trial that this learner has; linear families search the penalty."""
+    if isinstance(learner, OneVsRest):
+        inner = learner.getClassifier()
+        return {learner.classifier: inner.copy(settings_for(inner, params))}
     wanted = {
         "maxIter" if learner.hasParam("stepSize") else "numTrees": params.get("n_estimators"),
         "maxDepth": params.get("max_depth"),
@@ -149,7 +160,10 @@ def automl(
     train, test = train.select("features", "label", "_fold"), test.select("features", "label")
     classes = 2
     if config.task == "classification":
-        classes = int(data.agg(F.max("label")).first()[0] or 0) + 1
+        labels = [r[0] for r in data.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()]
+        if len(labels) > MAX_CLASSES or labels != [float(i) for i in range(len(labels))]:
+            raise ValueError(f"class labels must be 0, 1, ... below {MAX_CLASSES} without gaps (index them first), not {labels[:20]}")
+        classes = max(2, len(labels))
     train = train.persist()
     judge = _evaluator(config)
     larger = judge.isLargerBetter()
@@ -175,10 +189,62 @@ def automl(
     train.unpersist()
     metrics = model_metrics(held_out, config.task, classes)
     final = learner.fit(data.select("features", "label"), settings_for(learner, best_params))
-    spark = df.sparkSession
-    rows = [(i, p["algorithm"], {k: str(v) for k, v in p.items()}, float(s)) for i, p, s in tried[:20]]
-    history = spark.createDataFrame(rows, "trial int, algorithm string, params map<string,string>, score double")
-    return AutoMLResult(final, best_params, best_score, history, metrics, feature_importance(final, features, df))
+    return AutoMLResult(final, best_params, best_score, _history(df.sparkSession, tried), metrics, feature_importance(final, features, df))
+
+
+def automl_with_features(
+    df: DataFrame, plan: FeaturePlan, key: list[str], config: AutoMLConfig | None = None
+) -> tuple[AutoMLResult, FeatureModel]:
+    """Search over raw rows, with the features fitted inside it.
+
+    A fifth is held out first. In every fold the features are fitted on the fold's training rows only, so nothing of a
+    row's target reaches its own features; the reported metrics come from features and a model that never saw the
+    held-out rows. Both are then refitted on all rows.
+    """
+    config = config or AutoMLConfig()
+    train, test = hash_split(df, key, 0.8, config.seed)
+    fold = hash_number(key, config.seed + 1) % config.folds
+    judge = _evaluator(config)
+    larger = judge.isLargerBetter()
+    trials = list(enumerate(draw_trials(config)))
+    classes = 2
+    if config.task == "classification":
+        classes = max(2, df.select(F.countDistinct(ref(plan.target))).first()[0])
+    learners = {a: learner_for(a, config.task, classes, config.seed) for a in dict.fromkeys(config.algorithms)}
+
+    def prepared(fit_on: DataFrame, *tables: DataFrame) -> tuple[FeatureModel, list[str], list[DataFrame]]:
+        fitted = fit_features(fit_on, plan)
+        made = [fitted.transform(t) for t in tables]
+        names = fitted.feature_names(made[0])
+        return fitted, names, [assemble(m, names, plan.target) for m in made]
+
+    def fit(params: dict[str, Any], rows: DataFrame) -> Model:
+        learner = learners[params["algorithm"]]
+        return learner.fit(rows, settings_for(learner, params))
+
+    totals = [0.0] * len(trials)
+    for f in range(config.folds):
+        inside = train.filter(fold != f)
+        _, _, (rows, checked) = prepared(inside, inside, train.filter(fold == f))
+        rows, checked = rows.persist(), checked.persist()
+        with ThreadPool(config.parallelism) as pool:
+            found = pool.map(inheritable_thread_target(df.sparkSession)(lambda t: judge.evaluate(fit(t[1], rows).transform(checked))), trials)
+        totals = [a + b for a, b in zip(totals, found)]
+        rows.unpersist()
+        checked.unpersist()
+    tried = sorted(((i, p, s / config.folds) for (i, p), s in zip(trials, totals)), key=lambda t: -t[2] if larger else t[2])
+    _, best_params, best_score = tried[0]
+    _, _, (rows, unseen) = prepared(train, train, test)
+    metrics = model_metrics(fit(best_params, rows).transform(unseen), config.task, classes)
+    fitted, names, (everything,) = prepared(df, df)
+    final = fit(best_params, everything)
+    history = _history(df.sparkSession, tried)
+    return AutoMLResult(final, best_params, best_score, history, metrics, feature_importance(final, names, df)), fitted
+
+
+def _history(spark: SparkSession, tried: list[tuple]) -> DataFrame:
+    rows = [(i, p["algorithm"], {k: str(v) for k, v in p.items()}, float(s)) for i, p, s in tried]
+    return spark.createDataFrame(rows, "trial int, algorithm string, params map<string,string>, score double")
 
 
 def model_metrics(predictions: DataFrame, task: str, classes: int = 2) -> DataFrame:
@@ -201,7 +267,9 @@ def _metric_rows(one: DataFrame) -> DataFrame:
 
 def feature_importance(model: Model, names: list[str], df: DataFrame) -> DataFrame:
     """``feature, importance``: tree importance, or absolute coefficients, largest first."""
-    if hasattr(model, "featureImportances"):
+    if hasattr(model, "models"):
+        values = sum(m.featureImportances.toArray() for m in model.models) / len(model.models)
+    elif hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
     elif getattr(model, "numClasses", 2) > 2:
         values = abs(model.coefficientMatrix.toArray()).max(axis=0)

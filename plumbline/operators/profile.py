@@ -167,8 +167,8 @@ def profile(
     return counts.join(numeric_summary(df, chosen, quantile_method), "column", "left")
 
 
-def planning_summary(df: DataFrame, max_cols: int = 30) -> DataFrame:
-    """The short column summary that feature planning reads: the first ``max_cols`` columns."""
+def planning_summary(df: DataFrame, max_cols: int | None = None) -> DataFrame:
+    """The short column summary that feature planning reads; ``max_cols`` names a prefix of the columns."""
     return column_counts(df, cols=df.columns[:max_cols]).select(
         "column", "dtype", "n_unique",
         percent(F.col("null_count"), F.col("row_count"), 1).alias("null_pct"),
@@ -209,54 +209,28 @@ def correlations(
     df: DataFrame,
     cols: list[str] | None = None,
     threshold: float = 0.3,
-    max_cols: int | None = 20,
+    max_cols: int | None = None,
     digits: int = 3,
 ) -> DataFrame:
     """Pearson correlation of every numeric pair above ``threshold``, strongest first.
 
-    Rows with a null in either column of a pair do not count for it. A first aggregate finds means
-    and nulls; the second sums centred products, sharing the sums of columns that have no nulls.
+    Rows with a null in either column of a pair do not count for it. All pairs are aggregated in one scan for every
+    AGG_WIDTH of them.
     """
     chosen = pick(df, cols, numeric_columns(df))[:max_cols]
-    pairs = [(i, j) for i in range(len(chosen)) for j in range(i + 1, len(chosen))]
-    empty = df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1 :]]
     if not pairs:
-        return empty
-    values = [f"CAST({quoted(c)} AS DOUBLE)" for c in chosen]
-    first = df.agg(*[F.expr(f"avg({v})") for v in values], *[F.expr(f"count_if({v} IS NULL)") for v in values]).first()
-    means, nulls = first[: len(chosen)], first[len(chosen) :]
-    away = [f"coalesce({v} - double('{m!r}'), 0D)" for v, m in zip(values, means)]
-    present = [f"CAST({v} IS NOT NULL AS DOUBLE)" for v in values]
-    sums: dict[str, str] = {}
-
-    def total(name: str, i: int, j: int, term: str) -> str:
-        """Sum of ``term`` of column i over the rows where column j is present too."""
-        key = f"{name}_{i}_{j}" if nulls[j] else f"{name}_{i}"
-        sums.setdefault(key, f"sum({term} * {present[j]})" if nulls[j] else f"sum({term})")
-        return f"s.{key}"
-
-    rows = []
-    for i, j in pairs:
-        if means[i] is None or means[j] is None:
-            continue
-        n = total("n", i, j, present[i])
-        x, y = total("x", i, j, away[i]), total("x", j, i, away[j])
-        xx, yy = total("xx", i, j, f"{away[i]} * {away[i]}"), total("xx", j, i, f"{away[j]} * {away[j]}")
-        sums[f"xy_{i}_{j}"] = f"sum({away[i]} * {away[j]})"
-        spread = f"sqrt(({xx} - {x} * {x} / {n}) * ({yy} - {y} * {y} / {n}))"
-        rows.append(f"struct({text(chosen[i])} AS column_a, {text(chosen[j])} AS column_b, "
-                    f"(s.xy_{i}_{j} - {x} * {y} / {n}) / nullif({spread}, 0D) AS r)")
-    if not rows:
-        return empty
-    # one row of named sums, at most a few numbers per pair; wide tables take several aggregates
-    parts = [df.agg(*[F.expr(e).alias(k) for k, e in part]) for part in slices(list(sums.items()), 64)]
-    named = [p.select(*[k if k in p.columns else F.lit(None).cast("double").alias(k) for k in sums])
-             for p in parts]
-    gathered = union_all(named).agg(*[F.max(k).alias(k) for k in sums]) if len(named) > 1 else named[0]
-    gathered = gathered.select(F.struct(*list(sums)).alias("s"))
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
+    parts = []
+    for part in slices(pairs):
+        # by its square, as a column without spread is an error for corr() in ANSI mode; its covariance is 0 here
+        one = df.agg(*[F.expr(f"signum(covar_pop({x}, {y})) * sqrt(regr_r2({x}, {y}))").alias(f"r{i}") for i, (x, y) in enumerate(
+            (f"CAST({quoted(a)} AS DOUBLE)", f"CAST({quoted(b)} AS DOUBLE)") for a, b in part)])
+        parts.append(rows_from(one, [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)]))
+    gathered = union_all(parts)
     strong = ~F.isnan("r") & (F.abs("r") > threshold)
     return (
-        gathered.select(F.expr(f"inline(array({', '.join(rows)}))")).filter(strong)
+        gathered.filter(strong)
         .orderBy(F.abs("r").desc(), "column_a", "column_b")
         .select("column_a", "column_b", F.round("r", digits).alias("correlation"))
     )

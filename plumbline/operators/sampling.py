@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.columns import pick, ref
 from plumbline.operators.ranks import running
+from plumbline.session import materialize
 
 HASH_RANGE = 2**52
 
@@ -62,8 +63,10 @@ def sample_strata(
 ) -> DataFrame:
     """``per_stratum`` rows of each stratum, or ``size`` rows shared out in proportion.
 
-    Rows that cannot be among a stratum's smallest hashes are dropped before anything is ranked, so
-    a stratum holding a third of the table sends only about its quota to one task.
+    Rows that are hardly among a stratum's smallest hashes are dropped before anything is ranked, so
+    a stratum holding a third of the table sends only about its quota to one task. The rows left are
+    counted: where repeated keys make hashes uneven, a stratum's cut is widened until its quota is there. Equal
+    keys are ordered by the remaining columns.
     """
     if (size is None) == (per_stratum is None):
         raise ValueError("give either size or per_stratum")
@@ -81,8 +84,21 @@ def sample_strata(
     match = F.lit(True)
     for i, c in enumerate(keys):
         match = match & ref(c).eqNullSafe(F.col(f"_s{i}"))
-    near = df.withColumn("_h", hash_number(key, seed)).join(counts, match).filter(F.col("_h") <= F.col("_cut"))
-    place = W.partitionBy(*[f"_s{i}" for i in range(len(keys))]).orderBy("_h", *[ref(c) for c in key])
+    strata = [f"_s{i}" for i in range(len(keys))]
+    hashed = df.withColumn("_h", hash_number(key, seed))
+    while True:
+        near = hashed.join(counts, match).filter(F.col("_h") <= F.col("_cut"))
+        held = near.groupBy(*[F.col(c).alias(f"_g{c}") for c in strata]).agg(F.count(F.lit(1)).alias("_n"))
+        same = F.lit(True)
+        for c in strata:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g{c}"))
+        checked = materialize(counts.join(held, same, "left").select(*counts.columns, F.coalesce("_n", F.lit(0)).alias("_held")))
+        short = F.col("_held") < F.least("_quota", "_rows")
+        if checked.filter(short).isEmpty():
+            break
+        counts = checked.withColumn("_cut", F.when(short, F.col("_cut") * 8 + HASH_RANGE / 64).otherwise(F.col("_cut"))).drop("_held")
+    rest = [c for c, kind in df.dtypes if c not in key and not kind.startswith("map")]
+    place = W.partitionBy(*strata).orderBy("_h", *[ref(c) for c in key + rest])
     return near.withColumn("_n", F.row_number().over(place)).filter("_n <= _quota").select(
         *[ref(c) for c in df.columns])
 
@@ -94,7 +110,7 @@ def sample_systematic(df: DataFrame, order_by: list[str], every: int) -> DataFra
 
 
 def auto_sample(
-    df: DataFrame, key: list[str], threshold: int = 1_000_000, size: int = 100_000, method: str = "random",
+    df: DataFrame, key: list[str], threshold: int, size: int, method: str = "random",
     seed: int = 42, by: list[str] | None = None, order_by: list[str] | None = None,
 ) -> DataFrame:
     """The table itself up to ``threshold`` rows, else a sample of ``size`` rows."""

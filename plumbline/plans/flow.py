@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.drift import drift, drift_alerts, drift_summary
 from plumbline.operators.features import FeatureModel, FeaturePlan, default_feature_plan, fit_features, infer_target
-from plumbline.operators.model import AutoMLConfig, AutoMLResult, automl
+from plumbline.operators.model import AutoMLConfig, AutoMLResult, automl_with_features
 from plumbline.operators.profile import correlations, load_stats, profile, quality_issues
 from plumbline.operators.records import optimization_targets
 from plumbline.plans.cleaning import Cleaned, clean
@@ -76,11 +76,11 @@ def build(
     plan = features or default_feature_plan(table, goal)
     plan.target = goal
     fitted = stage("features", lambda: fit_features(table, plan))
-    made = fitted.transform(table, keep=key)
     trained = None
     if model is not None:
-        names = fitted.feature_names(made)
-        trained = stage("model", lambda: automl(made, names, goal, key, model))
+        # the search fits the features again inside every fold; what it returns is fitted on all rows
+        trained, fitted = stage("model", lambda: automl_with_features(table, plan, key, model))
+    made = fitted.transform(table, keep=key)
     return BuildResult(stats, done, issues, described, related, fitted, made, trained, stage_runs(spark, runs))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current is None:
         if named is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             named = tempfile.mkdtemp(prefix="plumbline-")
         context.setCheckpointDir(named)
@@ -46,6 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+# Tables of ``written`` that are still there, oldest first.
+_WRITTEN: list[str] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written`` makes inside the block; results must be read or saved before it ends."""
+    kept = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _WRITTEN[kept:]:
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _WRITTEN[kept:]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder so later steps all read the same rows."""
     shared_dir(df.sparkSession)
@@ -55,5 +76,6 @@ def materialize(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: read again column by column, never recomputed."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

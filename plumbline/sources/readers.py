@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,6 @@ CONNECTORS = {"s3": "s3a", "az": "abfss"}
 JVM_CHARSETS = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii"}
 PAYLOAD_KEYS = ["data", "results", "items", "records"]
 DEFAULT_TABLE = "data"
-DEFAULT_LIMIT = 100_000
 
 
 @dataclass(frozen=True)
@@ -72,6 +72,15 @@ def _sniff(spark: SparkSession, uri: str) -> str:
     return "parquet" if bytes(first["head"]) == b"PAR1" else "csv"
 
 
+def _json_lines(spark: SparkSession, uri: str) -> bool:
+    """Whether the first line with text is a whole JSON object, as Spark writes it, and not part of one document a file."""
+    first = spark.read.text(uri).filter(F.trim("value") != "").first()
+    try:
+        return first is not None and isinstance(json.loads(first["value"]), dict)
+    except ValueError:
+        return False
+
+
 def charset(encoding: str) -> str:
     """An encoding name as Spark spells it (``latin1`` is ``iso-8859-1``)."""
     name = codecs.lookup(encoding).name
@@ -102,7 +111,7 @@ def load(
             reader = reader.option("inferSchema", True)
         return reader.csv(spec.uri)
     if kind == "json":
-        return reader.option("multiLine", True).json(spec.uri)
+        return reader.option("multiLine", not _json_lines(spark, spec.uri)).json(spec.uri)
     if kind == "jsonl":
         return reader.json(spec.uri)
     if kind in ("parquet", "orc"):
@@ -148,7 +157,7 @@ def _plain(kind: pa.DataType) -> pa.DataType:
 
 
 def jdbc_options(
-    url: str, query: str | None = None, table: str | None = None, limit: int | None = DEFAULT_LIMIT,
+    url: str, query: str | None = None, table: str | None = None, limit: int | None = None,
     partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8,
 ) -> dict[str, str]:
     """Reader options for a query (checked to be a plain SELECT) or a table."""

@@ -50,15 +50,27 @@ def stream_drift(
     counts = stream_window_counts(stream, fitted, ts, window, watermark, slide)
 
     def finish(batch: DataFrame, batch_id: int) -> None:
-        if sink is not None:
-            sink(score_windows(batch, fitted, formula), batch_id)
+        if sink is None:
+            return
+        # read several times: without this the stateful plan would run for each
+        held = batch.persist()
+        try:
+            sink(score_windows(held, fitted, formula), batch_id)
+        finally:
+            held.unpersist()
 
     return counts.writeStream.outputMode("append").foreachBatch(finish)
 
 
-def stream_dedup(stream: DataFrame, keys: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
-    """First row per key within the watermark."""
-    return with_event_time(stream, ts, watermark).dropDuplicatesWithinWatermark(keys)
+def stream_dedup(stream: DataFrame, keys: list[str], ts: str, watermark: str = "1 hour", window: str = "1 hour") -> DataFrame:
+    """One row for each key and event-time window.
+
+    Which keys repeat is a matter of event time alone: it does not depend on how rows fall into micro-batches, and
+    the watermark drops a window's state once it has passed.
+    """
+    # the window's start is the event time that the watermark follows: it is part of the key, so its state can go
+    timed = stream.withColumn("_window", F.window(ref(ts).cast("timestamp"), window)["start"]).withWatermark("_window", watermark)
+    return timed.dropDuplicates([*keys, "_window"]).drop("_window")
 
 
 def stream_limit_breaches(

@@ -63,8 +63,17 @@ def test_regression_search_picks_the_lowest_error(flowers):
     assert found.score == min(r.score for r in found.trials.collect())
 
 
-def test_more_than_two_classes_use_a_forest():
-    assert type(ML.learner_for("gbt", "classification", 3)).__name__ == "RandomForestClassifier"
+def test_more_than_two_classes_are_boosted_one_against_the_rest(flowers):
+    data = flowers.dropDuplicates().dropna().withColumn("y", F.when(F.col("a") > 0.5, 2).when(F.col("a") < -0.5, 0).otherwise(1))
+    config = ML.AutoMLConfig("classification", ["gbt"], "accuracy", trials=1, folds=2, space={"n_estimators": ("int", 4, 4), "max_depth": ("int", 3, 3)})
+    found = ML.automl(data, ["a", "b"], "y", ["id"], config)
+    assert type(found.model).__name__ == "OneVsRestModel" and found.score > 0.9
+    assert found.importance.first()["feature"] == "a"
+    with pytest.raises(ValueError, match="index them first"):
+        ML.automl(data.withColumn("y", F.col("y") + 1), ["a", "b"], "y", ["id"], config)
+
+
+def test_settings_of_a_trial():
     settings = ML.settings_for(ML.learner_for("gbt", "regression"), {"n_estimators": 7, "subsample": 0.7, "colsample": 0.8})
     assert {p.name: v for p, v in settings.items()} == {"maxIter": 7, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.8"}
 
@@ -110,3 +119,44 @@ def test_user_score_runs_in_batches(spark):
     df = spark.range(100).withColumn("text", F.concat(F.lit("t"), F.col("id").cast("string")))
     got = TX.score_with(df, lambda text, i: text.str.len() * 1.0 + i, ["text", "id"])
     assert got.filter(F.col("score") != F.length("text") + F.col("id")).count() == 0
+
+
+def test_target_encoding_of_noise_predicts_nothing(spark):
+    import random
+
+    from plumbline.operators.features import FeaturePlan
+    from plumbline.operators.model import AutoMLConfig, automl_with_features
+
+    rng = random.Random(9)
+    rows = [(i, f"c{rng.randrange(300)}", rng.randrange(2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, c string, y bigint")
+    config = AutoMLConfig("classification", ["logistic"], trials=1, folds=2, space={})
+    found, _ = automl_with_features(df, FeaturePlan("y", [], categorical=["c"], encoding="target"), ["id"], config)
+    metrics = {r["metric"]: r["value"] for r in found.metrics.collect()}
+    auc = next(v for k, v in metrics.items() if "auc" in k)
+    assert 0.3 < auc < 0.7
+
+
+def test_written_tables_go_with_their_block(spark):
+    import os
+
+    from plumbline.session import intermediates, shared_dir, written
+
+    with intermediates(spark):
+        assert written(spark.range(5)).count() == 5
+        held = {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("table-")}
+    left = {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("table-")}
+    assert len(held - left) == 1
+
+
+def test_json_written_here_is_read_whole(spark, tmp_path):
+    from plumbline.sources.readers import load
+    from plumbline.sources.writers import save
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(1500)], "i bigint, t string")
+    save(rows, str(tmp_path / "x.json"))
+    assert load(spark, str(tmp_path / "x.json")).count() == 1500
+    (tmp_path / "doc.json").write_text('[{"i": 1},\n {"i": 2}]')
+    assert load(spark, str(tmp_path / "doc.json")).count() == 2
+    (tmp_path / "one.json").write_text('{\n "i": 1,\n "t": "a"\n}')
+    assert load(spark, str(tmp_path / "one.json")).count() == 1

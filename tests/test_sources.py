@@ -73,7 +73,7 @@ def test_dataframe_passes_through(spark, sample):
 
 
 def test_jdbc_options():
-    assert RD.jdbc_options("postgresql://h/db")["query"] == "SELECT * FROM data LIMIT 100000"
+    assert RD.jdbc_options("postgresql://h/db")["query"] == "SELECT * FROM data"
     assert RD.jdbc_options("jdbc:mysql://h/db", table="t") == {"url": "jdbc:mysql://h/db", "dbtable": "t"}
     got = RD.jdbc_options("jdbc:x", query="SELECT a FROM t", partition_column="a", bounds=(1, 9), partitions=3)
     assert got["dbtable"] == "(SELECT a FROM t) AS source" and got["numPartitions"] == "3" and got["upperBound"] == "9"
