@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.columns import quoted, ref
+from plumbline.columns import ref
 from plumbline.session import written
 
 __all__ = ["MASK", "graph_components", "keep_rows", "mix", "narrow", "slices_of", "table", "text_bytes", "word_hashes", "written"]
@@ -169,16 +169,25 @@ def graph_components(edges: DataFrame) -> DataFrame:
     return now
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, all_keys: DataFrame, hashed: Column, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose (id, hash) is in ``keys``, one row for each key, with the columns of ``docs``.
 
     ``all_keys`` has the pair of every row. Only if some pair is there twice are the chosen rows made single.
     """
-    wanted = keys.toDF("_kept_id", "_kept_hash")
-    marked = docs.withColumn("_row_hash", hashed)
-    same = marked[quoted(id_col)].cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_row_hash") == F.col("_kept_hash"))
+    kept_id, kept_hash, row_hash = (fresh(name, docs) for name in ("kept_id", "kept_hash", "row_hash"))
+    wanted = keys.toDF(kept_id, kept_hash)
+    marked = docs.withColumn(row_hash, hashed)
+    same = ref(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(row_hash) == F.col(kept_hash))
     kept = marked.join(wanted, same, "left_semi")
     repeated = all_keys.groupBy(*all_keys.columns).agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates([id_col, "_row_hash"])
+        kept = kept.dropDuplicates([id_col, row_hash])
     return kept.select(*(ref(c) for c in docs.columns))
