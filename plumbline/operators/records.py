@@ -44,13 +44,20 @@ def provider_of(model: Column) -> Column:
 
 
 def usage_rollup(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Calls, tokens, cost and latency for every combination of ``by``; null means all."""
+    """Calls, tokens, cost and latency for every combination of ``by``; null means all.
+
+    Rows are added up by all keys first, so only these sums are multiplied into combinations.
+    """
     keys = by or ["agent", "model", "provider"]
     if "provider" in keys and "provider" not in calls.columns:
         calls = calls.withColumn("provider", provider_of(F.col("model")))
-    return calls.cube(*keys).agg(
+    sums = calls.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"),
-        F.avg("latency_ms").alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
+        F.sum("latency_ms").alias("_latency"), F.count("latency_ms").alias("_timed"), F.max("latency_ms").alias("max_latency_ms"),
+    )
+    return sums.cube(*keys).agg(
+        F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"),
+        F.try_divide(F.sum("_latency"), F.sum("_timed")).alias("avg_latency_ms"), F.max("max_latency_ms").alias("max_latency_ms"),
     )
 
 
