@@ -191,7 +191,7 @@ def stream_of(spark, d, name: str, order: str = "ts"):
     path = scratch(spark, f"stream-{name}")
     value = (F.col(order).cast("timestamp") if order == "ts" else F.col(order)).cast("double")
     low, high = rows.agg(F.min(value), F.max(value)).first()
-    part = F.least(F.lit(STREAM_FILES - 1), F.floor((value - low) / ((high - low) or 1.0) * STREAM_FILES))
+    part = F.coalesce(F.least(F.lit(STREAM_FILES - 1), F.floor((value - low) / ((high - low) or 1.0) * STREAM_FILES)), F.lit(0))
     for i in range(STREAM_FILES):
         # written one after the other, so that the source lists them in this order
         rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)

@@ -14,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.columns import ref
 from plumbline.operators.ranks import PART
@@ -89,24 +90,26 @@ class Slice:
 
 
 def _replay(
-    batches: Iterator[pd.DataFrame], key: str, full: int, rate: int, starts: dict[int, tuple[int, int]]
-) -> Iterator[tuple[pd.DataFrame, list[tuple], dict]]:
-    """Each batch with its verdicts and the state of its partition so far; rows come sorted."""
+    batches: Iterator[pa.RecordBatch], key: str, full: int, rate: int, starts: dict[int, tuple[int, int]]
+) -> Iterator[tuple[pa.RecordBatch, list[tuple], dict]]:
+    """Each batch with its verdicts and the state of its partition so far; rows come sorted.
+
+    Values are read from Arrow as they are, so large or missing whole-number keys stay exact.
+    """
     pause = -(-full // rate)
     part, who, bucket, facts = None, None, Bucket(full, rate), {}
     for batch in batches:
         verdicts = []
-        for p, k, now, price in zip(batch[PART], batch[key], batch["_us"], batch["_cost"]):
-            now = int(now)
-            k = None if pd.isna(k) else k
+        for p, k, now, price in zip(*(batch.column(c).to_pylist() for c in (PART, key, "_us", "_cost"))):
+            k = None if k != k else k
             if p != part:
                 part, who = p, k
-                bucket = Bucket(full, rate, *starts.get(int(p), (None, None)))
-                facts = {"part": int(p), "first_key": k, "first_us": now, "whole": True}
+                bucket = Bucket(full, rate, *starts.get(p, (None, None)))
+                facts = {"part": p, "first_key": k, "first_us": now, "whole": True}
             elif k != who or now - bucket.last >= pause:
                 who, bucket = k, Bucket(full, rate)
                 facts["whole"] = False
-            verdicts.append(bucket.take(now, int(price)))
+            verdicts.append(bucket.take(now, price))
             facts.update(last_key=k, last_us=now, left=bucket.left, filled=bucket.filled,
                          refused=bucket.refused, lowest=bucket.lowest)
         yield batch, verdicts, facts
@@ -151,17 +154,19 @@ def rate_limit_audit(
         T.StructField("refused", T.BooleanType()), T.StructField("lowest", T.LongType()), T.StructField("left", T.LongType()),
     ])
 
+    arrow_facts = to_arrow_schema(fact_schema)
+
     def facts_of(rows: DataFrame, starts: dict[int, tuple[int, int]]) -> list:
-        def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[int, dict] = {}
             for _, _, facts in _replay(batches, key, full, rate, starts):
                 if facts:
                     found[facts["part"]] = dict(facts)
             if found:
-                yield pd.DataFrame(list(found.values()))[fact_schema.names]
+                yield pa.RecordBatch.from_pylist(list(found.values()), arrow_facts)
 
         slim = rows.select(PART, ref(key), "_us", "_cost", *[ref(c) for c in tie if c not in (key, "_us")])
-        return slim.sortWithinPartitions(PART, *place).mapInPandas(summarize, fact_schema).collect()
+        return slim.sortWithinPartitions(PART, *place).mapInArrow(summarize, fact_schema).collect()
 
     slices = {r.part: Slice(r.first_key, r.last_key, r.first_us, r.last_us, r.whole, r.filled, r.refused, r.lowest,
                             {full: r.left})
@@ -179,9 +184,10 @@ def rate_limit_audit(
     ])
     kept = df.columns
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, verdicts, _ in _replay(batches, key, full, rate, starts):
             allowed, wait, remaining = zip(*verdicts) if verdicts else ((), (), ())
-            yield batch[kept].assign(allowed=allowed, retry_after=wait, remaining=remaining)
+            added = [pa.array(allowed, pa.bool_()), pa.array(wait, pa.float64()), pa.array(remaining, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], names=schema.names)
 
-    return spread.sortWithinPartitions(PART, *place).mapInPandas(judge, schema)
+    return spread.sortWithinPartitions(PART, *place).mapInArrow(judge, schema)

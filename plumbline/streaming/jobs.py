@@ -95,7 +95,7 @@ def stream_rate_limit(
     forget_ms = max(IDLE_SECONDS * 1000, -(-full // rate) // 1000 + 1)
     fields = {f.name: f.dataType for f in stream.schema}
     output = T.StructType([
-        T.StructField(key, fields[key]), T.StructField(tie, fields[tie]), T.StructField("ts_micros", T.LongType()),
+        T.StructField(key, T.StringType()), T.StructField(tie, fields[tie]), T.StructField("ts_micros", T.LongType()),
         T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType()),
         T.StructField("remaining", T.LongType()),
     ])
@@ -114,9 +114,11 @@ def stream_rate_limit(
         allowed, wait, remaining = zip(*verdicts)
         yield rows[[key, tie, "ts_micros"]].assign(allowed=allowed, retry_after=wait, remaining=remaining)
 
-    timed = with_event_time(stream, ts, watermark).select(ref(key), ref(tie), ref(ts), micros(ref(ts)).alias("ts_micros"))
-    return timed.groupBy(ref(key)).applyInPandasWithState(
+    # the key travels as text, as a whole number with nulls would lose digits in pandas
+    timed = with_event_time(stream, ts, watermark).select(ref(key).cast("string").alias(key), ref(tie), ref(ts), micros(ref(ts)).alias("ts_micros"))
+    out = timed.groupBy(ref(key)).applyInPandasWithState(
         take, output, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn(key, ref(key).cast(fields[key]))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

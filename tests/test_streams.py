@@ -146,3 +146,12 @@ def test_dedup_within_watermark(spark, tmp_path):
     out = J.run_available(J.stream_dedup(stream_of(spark, str(tmp_path / "in")), ["who"], "ts", "1 hour"),
                           str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r.who for r in out.collect()) == ["a", "b"]
+
+
+def test_large_and_missing_keys_keep_their_own_buckets(spark):
+    big = 2**53
+    rows = [(k, f"2024-01-01 00:00:0{i}", i) for i, k in enumerate([big, big + 1, None, big, big + 1, None])]
+    df = spark.createDataFrame(rows, "who bigint, ts string, id int").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = RL.rate_limit_audit(df, "who", "ts", ["id"], 1, 1).orderBy("id").collect()
+    assert [r.who for r in got] == [r[0] for r in rows]
+    assert [r.allowed for r in got] == [True, True, True, False, False, False]
