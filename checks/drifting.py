@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from checks.common import derived, rounded, table, with_
+from checks.common import derived, rounded, table, with_, scratch
 from plumbline.operators import drift as D
 from plumbline.operators import features as X
 from plumbline.operators import metrics as M
@@ -149,11 +149,15 @@ def perf_sql() -> str:
 PLAN = dict(target="l_tax", numeric=["l_quantity", "l_extendedprice"], categorical=["l_returnflag", "l_linestatus"])
 
 
-def features(spark, d, keep=("l_orderkey", "l_linenumber"), digits=6, **options):
+def features(spark, d, keep=("l_orderkey", "l_linenumber"), digits=6, saved=False, **options):
     line = table(spark, d, "lineitem")
     gap = line.withColumn("l_quantity", F.expr("CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_quantity END"))
     gap = gap.withColumn("l_returnflag", F.expr("CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_returnflag END"))
     model = X.fit_features(gap, X.FeaturePlan(**{**PLAN, **options}))
+    if saved:
+        path = scratch(spark, "feature-model")
+        model.save(path, spark)
+        model = X.FeatureModel.load(path, spark)
     return rounded(model.transform(gap, list(keep)), digits)
 
 
@@ -320,6 +324,9 @@ CHECKS = {
                               features_sql("avg(a)", "min({c})", "max({c}) - min({c})", LABELS)),
     "features_robust_target": (lambda s, d: features(s, d, scaling="robust", imputation="median", encoding="target"),
                                features_sql("quantile_cont(a, 0.5)", "quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)", TARGET_TAIL, TARGET_SQL)),
+    "features_saved_model": (lambda s, d: features(s, d, saved=True, scaling="minmax", encoding="label"),
+                             features_sql("avg(a)", "min({c})", "max({c}) - min({c})", LABELS)),
+    "features_onehot_error": (lambda s, d: features(s, d, handle_unknown="error"), features_sql("avg(a)", "avg({c})", "stddev_pop({c})", ONEHOT)),
     "features_interactions": (
         lambda s, d: features(s, d, digits=2, scaling="none", encoding="none", interactions=[("l_quantity", "l_extendedprice", "q_x_p")]),
         features_sql("avg(a)", "min(0)", "min(1)", "f AS categorical__l_returnflag, s AS categorical__l_linestatus, round(a * b, 2) AS interaction__q_x_p", digits=2)),
