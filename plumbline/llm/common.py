@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +169,17 @@ def graph_components(edges: DataFrame) -> DataFrame:
     return now
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """``make()``, kept by this worker until it needs something else: workers outlive a stage, so their caches must not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, made longer until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

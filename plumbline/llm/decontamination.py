@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.columns import ref
-from plumbline.llm.common import narrow
+from plumbline.llm.common import held, narrow
 
 ERROR = 0.05
 BLOCK_BYTES = 8 << 20
@@ -113,16 +113,8 @@ class Matcher:
         return [found[n] for n in sorted(found)]
 
 
-_LOADED: dict[tuple, Matcher] = {}
-
-
 def _matcher(items: list[tuple[int | None, str]], error: float) -> Matcher:
-    key = (len(items), hash(tuple(items)), error)
-    if key not in _LOADED:
-        if len(_LOADED) > 4:
-            _LOADED.clear()
-        _LOADED[key] = Matcher(items, error)
-    return _LOADED[key]
+    return held(("matcher", len(items), hash(tuple(items)), error), lambda: Matcher(items, error))
 
 
 def _block_matches(text: Column, items: list[tuple[int | None, str]], error: float) -> Column:

@@ -13,6 +13,8 @@ import os
 
 import numpy as np
 
+from plumbline.llm.common import held
+
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 1_000_000
 # A longer word is not kept, so the cache's bytes are bounded too.
@@ -68,11 +70,6 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_LOADED: dict[str, Words] = {}
-
-
 def words(path: str) -> Words:
     """This worker's cache for a vocabulary file, which every node holds at the same path."""
-    if path not in _LOADED:
-        _LOADED[path] = Words(path)
-    return _LOADED[path]
+    return held(("words", path), lambda: Words(path))

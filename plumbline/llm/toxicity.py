@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.columns import ref
-from plumbline.llm.common import narrow, written
+from plumbline.llm.common import held, narrow, written
 
 LETTERS = 40
 SPAN = 7
@@ -198,14 +198,8 @@ class Margins(dict):
         return [max(map(self.__getitem__, p), default=self.model.bias) for p in parts]
 
 
-_LOADED: dict[int, Margins] = {}
-
-
 def _margins(model: Model) -> Margins:
-    if model.key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[model.key] = Margins(model)
-    return _LOADED[model.key]
+    return held(("margins", model.key), lambda: Margins(model))
 
 
 def _text_margins(column: pa.Array, known: Margins) -> list[float]:
