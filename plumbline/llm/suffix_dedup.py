@@ -152,23 +152,30 @@ def _window_keys(size: int):
 
 
 def _cut(size: int):
-    """Joins a text's repeated windows to spans of bytes and drops these."""
+    """Joins a text's repeated windows to spans of bytes and drops these; a text with copies goes whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, spans, kept = [], [], []
-            for key, text, windows in zip(batch.column("key"), batch.column("text"), batch.column("windows")):
+            spans, kept = [], []
+            for text, copied, windows in zip(batch.column("text"), batch.column("copied").to_pylist(), batch.column("windows")):
                 raw = text.as_py()
-                pairs = windows.values
-                low = pairs.field("low").to_numpy(zero_copy_only=False).astype(np.int64)
-                high = pairs.field("high").to_numpy(zero_copy_only=False).astype(np.int64) + size - 1
-                depth = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(depth, low, 1)
-                np.add.at(depth, high, -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                keys.append(key.as_py())
-                spans.append(_spans(gone))
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["key", "spans", "kept"])
+                if copied:
+                    spans.append([{"low": 0, "high": len(raw)}])
+                    kept.append(b"")
+                elif not windows.is_valid:
+                    spans.append([])
+                    kept.append(raw)
+                else:
+                    pairs = windows.values
+                    low = pairs.field("low").to_numpy(zero_copy_only=False).astype(np.int64)
+                    high = pairs.field("high").to_numpy(zero_copy_only=False).astype(np.int64) + size - 1
+                    depth = np.zeros(len(raw) + 1, np.int32)
+                    np.add.at(depth, low, 1)
+                    np.add.at(depth, high, -1)
+                    gone = np.cumsum(depth[:-1]) > 0
+                    spans.append(_spans(gone))
+                    kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), pa.array(spans, _SPANS), pa.array(kept, pa.binary())],
+                                  names=["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
@@ -215,15 +222,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # texts with copies go whole; the others lose their windows
     copied = written(keyed.select("key", "n_bytes").filter(F.col("n_bytes") >= size).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     windows = written(repeated_spans(texts, size))
-    single = keyed.select(F.col("text").cast("binary").alias("text"), "key").join(windows, "key")
-    cut = written(single.mapInArrow(_cut(size), "key binary, spans array<struct<low: int, high: int>>, kept binary"))
-    all_gone = F.array(F.struct(F.lit(0).alias("low"), F.col("n_bytes").cast("int").alias("high")))
-    none = F.expr("cast(array() as array<struct<low: int, high: int>>)")
     # the two are disjoint, so texts are joined once
-    marks = cut.select("key", F.lit(False).alias("copied"), F.lit(True).alias("was_cut"), "spans", "kept").union(copied.select(
-        "key", F.lit(True), F.lit(False), none, F.lit(None).cast("binary")))
-    marked = keyed.join(marks, "key", "left")
-    return marked.select(
-        "doc_id", "n_bytes",
-        F.when(F.col("copied"), all_gone).when(F.col("was_cut"), F.col("spans")).otherwise(none).alias("spans"),
-        F.when(F.col("copied"), F.lit(b"")).when(F.col("was_cut"), F.col("kept")).otherwise(F.col("text").cast("binary")).alias("kept"))
+    marks = windows.select("key", F.lit(False).alias("copied"), "windows").union(copied.select(
+        "key", F.lit(True), F.lit(None).cast("array<struct<low: int, high: int>>")))
+    marked = keyed.join(marks, "key", "left").select("doc_id", "n_bytes", F.col("text").cast("binary").alias("text"), "copied", "windows")
+    return marked.mapInArrow(_cut(size), "doc_id long, n_bytes long, spans array<struct<low: int, high: int>>, kept binary")
