@@ -5,18 +5,19 @@ the power of the letters they stretch over (a word's first and last place count
 cubed. Inserted, doubled or missing letters and dots between letters leave most subsequences in place.
 
 Features. LANDMARKS words stand for the whole space (Nyström): a word's similarities to them, turned by the inverse root of
-the landmarks' own kernel matrix, are its coordinates, and a linear SVM (squared hinge) is fitted on these. At scoring time both steps
-fold into one weight per landmark.
+the landmarks' own kernel matrix, are its coordinates. A sentence's coordinates are the sum over its different words.
 
-Training. A bounded sample of labelled rows (SAMPLE of each label, chosen by the ids' hash) is cut into sentences,
-repeated sentences counting once. The words that labelled-toxic sentences hold far more often than clean ones (G-test) are the
-positive words, words of clean sentences the negative ones; twice, the clean words that the machine likes best are
-added and it is fitted again. Sentence counts, scores and choices run on the executors; the driver sees lists bounded by the parameters.
+Training. A bounded sample of labelled rows (SAMPLE of each label, chosen by the ids' hash) is cut into sentences, long ones into
+overlapping windows of PASSAGE tokens; repeated sentences count once. Every sentence, with its text's label, is a row of a linear SVM
+(squared hinge); the Newton steps' sums are added up by the tasks. Half of the landmarks are the words with the most evidence (G statistic)
+for toxic sentences, however many there are and without a least value; the others are chosen by their hash. Evidence chooses landmarks only, never rows.
+The driver sees lists and matrices bounded by the number of landmarks and, for the curve, by the sample.
 
-Scoring. A text scores as its most suspicious word, whatever the text's length; runs of single letters are also read as one word.
-Words are scored once per worker and kept in a bounded cache. A logistic curve (Platt) turns the margin into 0..1.
+Scoring. A text scores as its most suspicious sentence, whatever the text's length; runs of single letters are also read as one word.
+The margin is a sum over words, so both steps fold into one number per token, kept by each worker in a bounded cache; a token of several
+letter runs counts as the most suspicious reading. A logistic curve (Platt) turns the margin into 0..1.
 
-Cases: null, empty and wordless texts get the margin of a word without any known subsequence. Labels that are null, or of
+Cases: null, empty and wordless texts get the margin of a sentence without any known subsequence. Labels that are null, or of
 ids without a document, teach nothing; repeated ids and rows count as often as they occur. With no toxic or
 no clean labels the score is that share for every text. An empty table gives no rows. Other columns are ignored.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -44,17 +45,16 @@ WINDOW = 24
 FIRST, LAST = "<>"
 LANDMARKS = 128
 SAMPLE = {1: 4_000, 0: 12_000}
-NEGATIVES = 8_000
-HARD = 3_000
-ROUNDS = 3
-CHANCE = 0.05
+PASSAGE = 32
+SHARE = 0.5
 RIDGE = 0.05
+PENALTY = 0.1
 MOST = 1.0
 CACHE = 700_000
 BLOCK = 1 << 20
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(rb"[.!?]+\s+|\n+")
 _SPELLED = re.compile(rb"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
 
@@ -72,9 +72,16 @@ def units(token: str) -> list[str]:
     return out
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Tokens between ASCII white space, and runs of four or more single letters as one."""
-    return text.split() + [b"".join(m.group().split()) for m in _SPELLED.finditer(text)]
+def passages(text: bytes) -> list[list[bytes]]:
+    """The tokens (between ASCII white space) of each sentence, of long ones in overlapping windows; runs of four or more single letters are sentences of one token."""
+    out = []
+    for sentence in _SENTENCE.split(text):
+        words = sentence.split()
+        if len(words) <= PASSAGE:
+            out.append(words)
+        else:
+            out += [words[i : i + PASSAGE] for i in range(0, len(words) - PASSAGE // 2, PASSAGE // 2)]
+    return out + [[b"".join(m.group().split())] for m in _SPELLED.finditer(text)]
 
 
 @lru_cache(maxsize=64)
@@ -119,17 +126,18 @@ def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
     return out**3
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1, steps: int = 30) -> np.ndarray:
-    """Weights, bias last, of a linear SVM with squared hinge loss, by Newton steps on the active rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = penalty * np.eye(x.shape[1])
+def squared_hinge(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, penalty: float = PENALTY, steps: int = 30) -> np.ndarray:
+    """Weights, bias last, of a linear SVM with squared hinge loss, by Newton steps on the active rows.
+
+    ``sums`` gives, for weights, the active rows' weighted x x' and y x.
+    """
+    ridge = penalty * np.eye(size + 1)
     ridge[-1, -1] = 1e-8
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size + 1)
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        a, target, c = x[active], y[active], weight[active]
-        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, (a * c[:, None]).T @ target)
-        if np.allclose(new, w, atol=1e-7):
+        square, target = sums(w)
+        new = np.linalg.solve(ridge + square, target)
+        if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w
@@ -168,34 +176,29 @@ class Model:
 
 
 class Margins(dict):
-    """token -> margin of its most suspicious word."""
+    """token -> what it adds to a sentence's margin, read as its most suspicious word."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model, self.table, self.weights = model, profiles(model.landmarks), np.array(model.weights, np.float32)
 
-    def of_words(self, words: list[str]) -> np.ndarray:
-        # a word that lies further out than the taught ones is no surer than these
-        return np.minimum(kernel(words, self.table) @ self.weights + self.model.bias, MOST)
-
     def learn(self, missing: list[bytes]) -> None:
-        if len(self) + len(missing) > CACHE:
-            self.clear()
         found = [units(t.decode("utf-8", "replace")) for t in missing]
         flat = list(dict.fromkeys(w for ws in found for w in ws))
-        margin = dict(zip(flat, self.of_words(flat).tolist())) if flat else {}
-        low = self.model.bias
+        part = dict(zip(flat, (kernel(flat, self.table) @ self.weights).tolist())) if flat else {}
         for token, ws in zip(missing, found):
-            self[token] = max((margin[w] for w in ws), default=low)
+            self[token] = max((part[w] for w in ws), default=0.0)
 
     def of_texts(self, texts: list[bytes]) -> list[float]:
-        parts = [tokens(t) for t in texts]
-        missing = set().union(*parts).difference(self.keys())
+        parts = [[set(p) for p in passages(t)] for t in texts]
+        missing = set().union(*(p for ps in parts for p in ps)).difference(self.keys())
         if len(self) + len(missing) > CACHE:
             self.clear()
-            missing = set().union(*parts)
+            missing = set().union(*(p for ps in parts for p in ps))
         self.learn(list(missing))
-        return [max(map(self.__getitem__, p), default=self.model.bias) for p in parts]
+        bias, part = self.model.bias, self.__getitem__
+        # a sentence that lies further out than the taught ones is no surer than these
+        return [min(MOST, bias + max((sum(map(part, p)) for p in ps if p), default=0.0)) for ps in parts]
 
 
 def _margins(model: Model) -> Margins:
@@ -221,9 +224,7 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.string())
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
-            raw = text.as_py()
-            rows = [list(dict.fromkeys(w for t in s.split() for w in units(t))) for s in _SENTENCE.split(raw.decode("utf-8", "replace"))]
-            rows += [units(t.decode("utf-8", "replace")) for t in tokens(raw)[len(raw.split()) :]]
+            rows = [list(dict.fromkeys(w for t in p for w in units(t.decode("utf-8", "replace")))) for p in passages(text.as_py())]
             rows = [r for r in rows if r]
             yield pa.record_batch([pa.array([toxic] * len(rows), pa.int32()), pa.array(rows, kind)], names=["toxic", "words"])
 
@@ -240,62 +241,72 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> DataF
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] | None = None) -> Model:
     """The model learned from ``labels`` (doc_id, toxic); the caller leaves held-out labels away."""
     rows = sampled(narrow(docs, id_col, text_col), labels, sample or SAMPLE)
-    sentences = rows.select("toxic", "text").mapInArrow(_sentences, "toxic int, words array<string>").dropDuplicates(["toxic", "words"])
+    sentences = written(rows.select("toxic", "text").mapInArrow(_sentences, "toxic int, words array<string>").dropDuplicates(["toxic", "words"]))
     counted = written(sentences.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model(share=n1 / (n1 + n0) if n1 + n0 else 0.0)
-    sums = counted.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
+    sums = counted.agg(F.sum("t"), F.sum("c")).first()
     total1, total0 = float(sums[0] or 1), float(sums[1] or 1)
     both = F.col("t") + F.col("c")
     expected1, expected0 = both * (total1 / (total1 + total0)), both * (total0 / (total1 + total0))
     part = lambda seen, exp: F.when(seen > 0, 2 * seen * F.log(seen / exp)).otherwise(0.0)
-    strength = part(F.col("t"), expected1) + part(F.col("c"), expected0)
-    usable = counted.filter(F.length("word") >= 5)
-    # so strong that among all words tested hardly one is expected by chance
-    least = 2 * float(np.log((sums[2] or 1) / CHANCE))
-    strong = usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("g") >= least) & (F.col("c") <= 0.1 * F.col("t")))
-    telling = strong.orderBy(F.desc("g"), "word").limit(NEGATIVES // 4).select("word", "t").collect()
-    positive = [r["word"] for r in telling]
-    if not positive:  # few labels: the most telling words there are
-        positive = [r["word"] for r in usable.withColumn("g", strength).filter((F.col("t") > expected1) & (F.col("c") == 0)).orderBy(F.desc("g"), "word").limit(5).collect()]
-    clean = usable.filter((F.col("c") > 0.1 * F.col("t")) & (F.col("c") > 0))
-    negative = [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
-    negative += [r["word"] for r in clean.orderBy(F.desc("c"), "word").limit(NEGATIVES // 4).collect()]
-    if not positive or not negative:
+    usable = counted.filter(F.length("word") >= 5).withColumn("g", part(F.col("t"), expected1) + part(F.col("c"), expected0))
+    first = lambda df, *order: [r["word"] for r in df.orderBy(*order, "word").limit(LANDMARKS).collect()]
+    telling = first(usable.filter(F.col("t") > expected1), F.desc("g"))
+    landmarks = list(dict.fromkeys(telling[: LANDMARKS // 2] + first(usable, F.xxhash64("word"))))[:LANDMARKS]
+    if not landmarks:
         return Model(share=n1 / (n1 + n0))
-    seen = {r["word"]: r["t"] for r in telling}
-    landmarks = list(dict.fromkeys(positive[: LANDMARKS // 2] + negative[: LANDMARKS - min(len(positive), LANDMARKS // 2)]))
-    table = profiles(landmarks)
-    values, vectors = np.linalg.eigh(kernel(landmarks, table).astype(float) + RIDGE * np.eye(len(landmarks)))
+    values, vectors = np.linalg.eigh(kernel(landmarks, profiles(landmarks)).astype(float) + RIDGE * np.eye(len(landmarks)))
     root = (vectors / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
-    model = Model(landmarks)
-    for turn in range(ROUNDS):
-        words = positive + list(dict.fromkeys(negative))
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(words) - len(positive))])
-        weight = np.ones(len(words))
-        # all positive words together weigh an eighth of the rows, each by the root of its sentences
-        often = np.sqrt([float(seen.get(w, 1)) for w in positive])
-        weight[: len(positive)] = len(words) / 8 * often / often.sum()
-        w = squared_hinge(kernel(words, table).astype(float) @ root, y, weight)
-        model = Model(landmarks, (root @ w[:-1]).tolist(), float(w[-1]))
-        if turn < ROUNDS - 1:
-            negative += [r["word"] for r in _word_margins(clean, model).orderBy(F.desc("margin"), "word").limit(HARD).collect()]
+    taught = written(_features(sentences, landmarks, root))
+    n = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
+    # all sentences of toxic texts together weigh SHARE of the clean ones, as most of them are clean themselves
+    weight = SHARE * n.get(0, 1) / n.get(1, 1)
+    w = squared_hinge(lambda at: _active_sums(taught, at, weight), len(landmarks))
+    model = Model(landmarks, (root @ w[:-1]).tolist(), float(w[-1]))
     marked = _margin_rows(rows.select("doc_id", "text", "toxic"), model, "toxic")
     pairs = marked.select("margin", "toxic").toPandas()
     model.slope, model.shift = platt(pairs["margin"].to_numpy(float), pairs["toxic"].to_numpy(float))
     return model
 
 
-def _word_margins(words: DataFrame, model: Model) -> DataFrame:
+def _features(sentences: DataFrame, landmarks: list[str], root: np.ndarray) -> DataFrame:
+    """toxic and x of every sentence: the sum of its words' coordinates, as 32-bit floats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _margins(model)
+        seen = profiles(landmarks)
         for batch in batches:
-            yield pa.record_batch([batch.column("word"), pa.array(known.of_words(batch.column("word").to_pylist()).astype(float))], names=["word", "margin"])
+            rows = batch.column("words").to_pylist()
+            at = {w: i for i, w in enumerate(dict.fromkeys(w for r in rows for w in r))}
+            each = (kernel(list(at), seen) @ root).astype(np.float32)
+            x = [each[[at[w] for w in r]].sum(0).tobytes() for r in rows]
+            yield pa.record_batch([batch.column("toxic"), pa.array(x, pa.binary())], names=["toxic", "x"])
+
+    return sentences.select("toxic", "words").mapInArrow(run, "toxic int, x binary")
+
 
-    return words.select("word").mapInArrow(run, "word string, margin double")
+def _active_sums(taught: DataFrame, w: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """The sums that a Newton step needs, added up by the tasks."""
+    size = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, size - 1)
+                x = np.hstack([x.astype(float), np.ones((len(x), 1))])
+                toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
+                y, c = np.where(toxic, 1.0, -1.0), np.where(toxic, weight, 1.0)
+                active = y * (x @ w) < 1
+                a = x[active] * c[active, None]
+                total += np.hstack([a.T @ x[active], (a.T @ y[active])[:, None]])
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    parts = taught.mapInArrow(run, "total binary").collect()
+    total = sum(np.frombuffer(r["total"]).reshape(size, size + 1) for r in parts)
+    return total[:, :-1], total[:, -1]
 
 
 def _margin_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -116,6 +116,24 @@ def test_toxicity_held_out_and_gapped(spark):
     assert left.columns == docs.columns and left.count() == sum(s < 0.5 for s in got.values())
 
 
+def lessons(spark, clean, toxic):
+    """Documents and labels of sentences, and the ids of the held-out toxic and clean ones."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.sample(words + prose(9).split(" "), len(words) + 9)) + ".") for i, words in enumerate(clean + toxic)]
+    labels = [(i, int(i >= len(clean))) for i, _ in rows]
+    held = [[i for i, t in labels if t == k and zlib.crc32(str(i).encode()) % 5 == 0] for k in (1, 0)]
+    return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), *held
+
+
+def test_toxicity_of_words_that_are_usual_in_clean_sentences(spark):
+    docs, labels, toxic, clean = lessons(spark, [["zxgrunk"], ["vwjoolf"], []] * 60, [["zxgrunk", "vwjoolf"]] * 60)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, toxicity.teaching(labels))).collect()}
+    assert sum(got[i] >= 0.5 for i in toxic) >= 0.9 * len(toxic) > 0
+    assert sum(got[i] < 0.5 for i in clean) >= 0.9 * len(clean) > 0
+
+
 def test_toxicity_without_lessons(spark):
     docs = frame(spark)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
