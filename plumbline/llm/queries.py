@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontamination, exact_dedup, packing, pii, sharding, suffix_dedup, token_files, toxicity
+from plumbline.llm import chat, collocations, decontamination, exact_dedup, merkle, packing, pii, sharding, suffix_dedup, token_files, top_k, toxicity
 from plumbline.llm.common import table
 from plumbline.llm.near_dedup import near_duplicates
 
@@ -71,6 +71,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.transform("spans", lambda s: s["score"]).alias("scores"))
 
 
+def op11_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.embedding_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bounded_ring": (op1_bounded_ring, None),
     "op2_minmax_near_dedup": (op2_minmax_near_dedup, None),
@@ -82,4 +94,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_addressable_tokens": (op8_addressable_tokens, None),
     "op9_heavy_hitter_dedup": (op9_heavy_hitter_dedup, exact_dedup.SQL),
     "op10_personal_data": (op10_personal_data, None),
+    "op11_norm_bucketed_top_k": (op11_norm_bucketed_top_k, top_k.SQL),
+    "op12_stream_collocations": (op12_stream_collocations, collocations.SQL),
+    "op13_slot_pivot_manifest": (op13_slot_pivot_manifest, merkle.SQL),
 }
