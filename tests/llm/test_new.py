@@ -47,6 +47,7 @@ def test_search_matches_all_products(spark, sizes):
 def test_search_prunes_and_stays_exact():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 32))
+    centres *= 6 / np.sqrt((centres**2).sum(1))[:, None]
     data = np.floor(256 * np.concatenate([centres[i % 8] + rng.normal(size=32) * 0.05 for i in range(800)]).reshape(800, 32) * np.where(np.arange(800) % 16 < 8, rng.uniform(0.98, 1.02, 800), rng.uniform(0.2, 0.6, 800))[:, None])
     data = data[np.argsort(-np.sqrt((data**2).sum(1)), kind="stable")]
     queries = top_k.Bucket(np.arange(40), np.arange(40) + 10_000, data[::20])
