@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -176,6 +177,8 @@ def held(key: tuple, make: Callable):
     """``make()``, kept by this worker until it needs something else: workers outlive a stage, so their caches must not add up."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]
 

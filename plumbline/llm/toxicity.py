@@ -2,24 +2,26 @@
 
 Kernel. A word is seen through all its subsequences of three letters within SPAN letters, weighted by DECAY to
 the power of the letters they stretch over (a word's first and last place count as letters); two words are as similar as the product of these profiles, scaled by length and
-cubed. Inserted, doubled or missing letters and dots between letters leave most subsequences in place.
+cubed (below FAINT: not at all). Inserted, doubled or missing letters and dots between letters leave most subsequences in place.
 
-Features. LANDMARKS words stand for the whole space (Nyström): a word's similarities to them, turned by the inverse root of
-the landmarks' own kernel matrix, are its coordinates. A sentence's coordinates are the sum over its different words.
+Features. LANDMARKS words stand for the whole space (Nyström). A sentence is as similar to a landmark as its most similar word; these similarities,
+turned by the inverse root of the landmarks' own kernel matrix, are its coordinates. Sentences of more than PASSAGE / 2 tokens are read in windows of
+PASSAGE tokens, one every PASSAGE / 2 tokens.
 
-Training. A bounded sample of labelled rows (SAMPLE of each label, chosen by the ids' hash) is cut into sentences, long ones into
-overlapping windows of PASSAGE tokens; repeated sentences count once. Every sentence, with its text's label, is a row of a linear SVM
-(squared hinge); the Newton steps' sums are added up by the tasks. Half of the landmarks are the words with the most evidence (G statistic)
-for toxic sentences, however many there are and without a least value; the others are chosen by their hash. Evidence chooses landmarks only, never rows.
+Training. A bounded sample of labelled rows (SAMPLE of each label, chosen by the ids' hash) is cut into sentences. Every sentence, with its text's label, is a row of a linear SVM
+(squared hinge); the Newton steps' sums are added up by the tasks. Half of the landmarks are the words, or beginnings of BEGINNING letters, with the most evidence (G statistic)
+for toxic texts, however many there are and without a least value, at most two of a stem; the others are words chosen by their hash. Evidence chooses and scales landmarks (those with little
+cost more to weigh), never rows.
 The driver sees lists and matrices bounded by the number of landmarks and, for the curve, by the sample.
 
-Scoring. A text scores as its most suspicious sentence, whatever the text's length; runs of single letters are also read as one word.
-The margin is a sum over words, so both steps fold into one number per token, kept by each worker in a bounded cache; a token of several
-letter runs counts as the most suspicious reading. A logistic curve (Platt) turns the margin into 0..1.
+Scoring. A text's evidence is the margin of its most suspicious window, those of the second and third most suspicious half window (halves don't overlap), so that a mild word
+that comes back counts, and the logarithm of its length. A logistic curve over these four (Platt's, the classes weighted evenly) gives 0..1; its exponent
+is the text's margin. Runs of four or more single letters are also read as one word. The whole text is read, whatever its length.
+Each worker keeps the similarities of the tokens it met (at most KNOWN tokens with any, CACHE in all).
 
-Cases: null, empty and wordless texts get the margin of a sentence without any known subsequence. Labels that are null, or of
-ids without a document, teach nothing; repeated ids and rows count as often as they occur. With no toxic or
-no clean labels the score is that share for every text. An empty table gives no rows. Other columns are ignored.
+Cases: null, empty and wordless texts are scored as sentences without any known subsequence. Labels that are null, or of
+ids without a document, teach nothing; neither do ids with both labels. Repeated labels, and rows that agree in text and label, count once; rows of one id with different texts
+all count. With no toxic or no clean labels the score is that share for every text. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,17 +47,22 @@ WINDOW = 24
 FIRST, LAST = "<>"
 LANDMARKS = 128
 SAMPLE = {1: 4_000, 0: 12_000}
-PASSAGE = 32
+PASSAGE = 16
+BEGINNING = 5
 SHARE = 0.5
 RIDGE = 0.05
-PENALTY = 0.1
-MOST = 1.0
-CACHE = 700_000
-BLOCK = 1 << 20
+PENALTY = 2.0
+DOUBT = 20.0
+FAINT = 0.01
+SPELLED = 4
+CACHE = 200_000
+KNOWN = 60_000
+BLOCK = 1 << 18
+TOPS = 3
+FURTHER = 3.0
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(rb"[.!?]+\s+|\n+")
-_SPELLED = re.compile(rb"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
+_BREAK = b"\xff"  # no byte of UTF-8
 
 
 def units(token: str) -> list[str]:
@@ -72,18 +79,6 @@ def units(token: str) -> list[str]:
     return out
 
 
-def passages(text: bytes) -> list[list[bytes]]:
-    """The tokens (between ASCII white space) of each sentence, of long ones in overlapping windows; runs of four or more single letters are sentences of one token."""
-    out = []
-    for sentence in _SENTENCE.split(text):
-        words = sentence.split()
-        if len(words) <= PASSAGE:
-            out.append(words)
-        else:
-            out += [words[i : i + PASSAGE] for i in range(0, len(words) - PASSAGE // 2, PASSAGE // 2)]
-    return out + [[b"".join(m.group().split())] for m in _SPELLED.finditer(text)]
-
-
 @lru_cache(maxsize=64)
 def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Index triples of the subsequences of a word of this length and their weights, scaled to length one."""
@@ -101,29 +96,51 @@ def _codes(words: list[str], length: int) -> np.ndarray:
     return (letters[:, at[:, 0]] * LETTERS + letters[:, at[:, 1]]) * LETTERS + letters[:, at[:, 2]]
 
 
-def profiles(landmarks: list[str]) -> np.ndarray:
-    """(LETTERS^3, landmarks): each landmark's weight of every subsequence."""
-    out = np.zeros((LETTERS**3, len(landmarks)), np.float32)
-    for j, word in enumerate(landmarks):
-        if len(word) >= 3:
-            np.add.at(out[:, j], _codes([word], len(word))[0], _places(len(word))[1])
-    return out
-
-
-def kernel(words: list[str], table: np.ndarray) -> np.ndarray:
+class Profiles:
+    """The landmarks' subsequences as a sparse table: for each subsequence, the landmarks that hold it and their weights."""
+
+    def __init__(self, landmarks: list[str]) -> None:
+        self.size = len(landmarks)
+        held: dict[int, dict[int, float]] = {}
+        for j, word in enumerate(landmarks):
+            if len(word) >= 3:
+                for code, weight in zip(_codes([word], len(word))[0].tolist(), _places(len(word))[1].tolist()):
+                    row = held.setdefault(code, {})
+                    row[j] = row.get(j, 0.0) + weight
+        self.start = np.zeros(LETTERS**3 + 1, np.int64)
+        for code, row in held.items():
+            self.start[code + 1] = len(row)
+        self.start = np.cumsum(self.start)
+        pairs = [pair for code in sorted(held) for pair in sorted(held[code].items())]
+        self.landmark = np.array([j for j, _ in pairs], np.int64)
+        self.weight = np.array([w for _, w in pairs], np.float64)
+
+    def products(self, codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """(words, landmarks) products of words' profiles, given as rows of subsequences, with the landmarks'."""
+        n = self.start[codes + 1] - self.start[codes]
+        word, place = np.nonzero(n)
+        n, first = n[word, place], self.start[codes[word, place]]
+        ends = np.cumsum(n)
+        at = np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        cell = np.repeat(word, n) * self.size + self.landmark[at]
+        return np.bincount(cell, np.repeat(weight[place], n) * self.weight[at], len(codes) * self.size).reshape(len(codes), self.size)
+
+
+def kernel(words: list[str], seen: Profiles) -> np.ndarray:
     """(words, landmarks) similarities."""
-    out = np.zeros((len(words), table.shape[1]), np.float32)
+    out = np.zeros((len(words), seen.size), np.float32)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         if len(w) >= 3:
             by_length.setdefault(len(w), []).append(i)
     for length, rows in by_length.items():
         weight = _places(length)[1]
-        for low in range(0, len(rows), 256):
-            part = rows[low : low + 256]
-            codes = _codes([words[i] for i in part], length)
-            out[part] = np.einsum("wsm,s->wm", table[codes], weight)
-    return out**3
+        for low in range(0, len(rows), 1024):
+            part = rows[low : low + 1024]
+            out[part] = seen.products(_codes([words[i] for i in part], length), weight)
+    out = np.minimum(out**3, 1)  # a word of one letter again and again holds its subsequences many times
+    out[out < FAINT] = 0
+    return out
 
 
 def squared_hinge(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, penalty: float = PENALTY, steps: int = 30) -> np.ndarray:
@@ -143,20 +160,22 @@ def squared_hinge(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], s
     return w
 
 
-def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve, with Platt's smoothed targets."""
+def platt(evidence: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Weights, the constant last, of the logistic curve, with Platt's smoothed targets."""
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([margin, np.ones(len(margin))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
+    share = np.where(label > 0, n0 / n1, 1.0)
+    x = np.hstack([evidence, np.ones((len(evidence), 1))])
+    # the best window explains what it can; the other evidence has to earn its weight
+    ridge = np.diag([0.01] + [FURTHER] * (x.shape[1] - 2) + [0.01])
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target))
+        step = np.linalg.solve((x * (share * p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (share * (p - target)) + ridge @ w)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return max(float(w[0]), 1e-3), float(w[1])
+    return w
 
 
 @dataclass
@@ -166,142 +185,273 @@ class Model:
     landmarks: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     bias: float = -1.0
+    curve: list[float] = field(default_factory=lambda: [1.0] + [0.0] * (TOPS + 1))
     slope: float = 1.0
     shift: float = 0.0
     share: float | None = None  # the constant score, if only one label was there
 
-    @property
-    def key(self) -> int:
-        return zlib.crc32(repr((self.landmarks, self.weights, self.bias)).encode())
 
+class Reader(dict):
+    """Reads texts as windows of similarities. token -> 8 x its row of ``table`` + 4 for a line's end + 2 if it ends a sentence + 1 if it is a single letter."""
 
-class Margins(dict):
-    """token -> what it adds to a sentence's margin, read as its most suspicious word."""
-
-    def __init__(self, model: Model) -> None:
+    def __init__(self, landmarks: list[str]) -> None:
         super().__init__()
-        self.model, self.table, self.weights = model, profiles(model.landmarks), np.array(model.weights, np.float32)
+        self.seen = Profiles(landmarks)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self[_BREAK] = 4
+        self.table = np.zeros((1024, self.seen.size), np.float32)
+        self.rows = 1  # row 0: like no landmark
+
+    def learn(self, tokens: list[bytes]) -> None:
+        for low in range(0, len(tokens), 20_000):
+            part = tokens[low : low + 20_000]
+            found = [units(t.decode("utf-8", "replace")) for t in part]
+            flat = list(dict.fromkeys(w for ws in found for w in ws))
+            near = kernel(flat, self.seen)
+            at = dict(zip(flat, np.where(near.any(1), np.arange(len(flat)), -1).tolist()))
+            for token, ws in zip(part, found):
+                rows = [at[w] for w in ws if at[w] >= 0]
+                number = 0
+                if rows:
+                    number = self.rows
+                    self.rows += 1
+                    if number >= len(self.table):
+                        self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                    self.table[number] = near[rows[0]] if len(rows) == 1 else near[rows].max(0)
+                self[token] = 8 * number + 2 * (token[-1:] in b".!?") + (len(token) == 1 or len(token) < 5 and len(token.decode("utf-8", "replace")) == 1)
+
+    def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Similarities (windows, landmarks) and each one's place in ``texts``, then the same of half windows; what is like no landmark is left out."""
+        parts = [t.replace(b"\n", b" \xff ").split() for t in texts]
+        missing = list(set().union(*parts).difference(self.keys()))
+        if len(self) + len(missing) > CACHE or self.rows > KNOWN:
+            self.forget()
+            missing = list(set().union(*parts).difference(self.keys()))
+        self.learn(missing)
+        tokens = [t for p in parts for t in (*p, _BREAK)]
+        code = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        text = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
+        spelled, owner = self._spelled(tokens, code, text)
+        word = (code & 4) == 0
+        first = np.concatenate(([True], (code[:-1] & 6) > 0))[word]
+        code, text = code[word], text[word]
+        # halves begin with a sentence, and every PASSAGE / 2 tokens in it
+        place = np.arange(len(code))
+        begin = np.maximum.accumulate(np.where(first, place, 0))
+        step = PASSAGE // 2
+        number = np.cumsum((place - begin) % step == 0) - 1
+        near = np.flatnonzero(code >= 8)
+        if not len(near):
+            return spelled, owner, spelled, owner
+        of = number[near]
+        start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        half = np.maximum.reduceat(self.table[code[near] >> 3], start)
+        of, at = of[start], near[start]
+        ends = np.append(np.flatnonzero(first)[1:], len(code))[np.cumsum(first) - 1][at]
+        inside, halves = (at - begin[at]) // step, -(-(ends - begin[at]) // step)
+        # a window is a half and the next one of its sentence; a half behind one that is like no landmark is a window with that one
+        follows = np.flatnonzero((of[1:] == of[:-1] + 1) & (begin[at[1:]] == begin[at[:-1]]))
+        joined = half.copy()
+        joined[follows] = np.maximum(half[follows], half[follows + 1])
+        behind = np.zeros(len(of), bool)
+        behind[follows + 1] = True
+        opens, shut = (inside < halves - 1) | (halves == 1), (inside > 0) & ~behind
+        whole = np.concatenate((joined[opens], half[shut], spelled))
+        return whole, np.concatenate((text[at[opens]], text[at[shut]], owner)), np.concatenate((half, spelled)), np.concatenate((text[at], owner))
+
+    def _spelled(self, tokens: list[bytes], code: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of SPELLED or more single letters of a line, each a window of one word."""
+        single = np.concatenate(([0], code & 1, [0]))
+        edge = np.flatnonzero(np.diff(single))
+        runs = [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= SPELLED]
+        words = [units(b"".join(tokens[a:b]).decode("utf-8", "replace")) for a, b in runs]
+        flat = [w for ws in words for w in ws]
+        owner = np.array([text[a] for (a, _), ws in zip(runs, words) for _ in ws], np.int64)
+        found = kernel(flat, self.seen)
+        near = found.any(1)
+        return found[near], owner[near]
+
+
+def blocks(values: list, size: Callable = len) -> Iterator[tuple[int, int]]:
+    """Runs of values of about BLOCK bytes; a longer one is a run by itself."""
+    low = total = 0
+    for at, value in enumerate(values):
+        if at > low and total + size(value) > BLOCK:
+            yield low, at
+            low, total = at, 0
+        total += size(value)
+    if low < len(values):
+        yield low, len(values)
+
+
+def reader(landmarks: list[str]) -> Reader:
+    return held(("reader", zlib.crc32(repr(landmarks).encode())), lambda: Reader(landmarks))
+
+
+def text_evidence(texts: list[bytes], model: Model) -> np.ndarray:
+    """For each text the best margin of a window, the next best margins of half windows, and its length, block by block."""
+    known, weights = reader(model.landmarks), np.array(model.weights)
+    out = np.full((len(texts), TOPS + 1), model.bias)
+    out[:, TOPS] = np.log1p(np.array([len(t) for t in texts], float) / 200)
+    for low, high in blocks(texts):
+        whole, of, half, owner = known.windows(texts[low:high])
+        np.maximum.at(out[:, 0], of + low, whole @ weights + model.bias)
+        margin = half @ weights + model.bias
+        order = np.lexsort((-margin, owner))
+        owner, margin = owner[order], margin[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        good = (rank > 0) & (rank < TOPS)
+        out[low + owner[good], rank[good]] = np.maximum(margin[good], model.bias)
+    return out
+
+
+def text_margins(texts: list[bytes], model: Model) -> np.ndarray:
+    return text_evidence(texts, model) @ np.array(model.curve[:-1]) + model.curve[-1]
 
-    def learn(self, missing: list[bytes]) -> None:
-        found = [units(t.decode("utf-8", "replace")) for t in missing]
-        flat = list(dict.fromkeys(w for ws in found for w in ws))
-        part = dict(zip(flat, (kernel(flat, self.table) @ self.weights).tolist())) if flat else {}
-        for token, ws in zip(missing, found):
-            self[token] = max((part[w] for w in ws), default=0.0)
+
+class Margins:
+    """The margins of single texts."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
 
     def of_texts(self, texts: list[bytes]) -> list[float]:
-        parts = [[set(p) for p in passages(t)] for t in texts]
-        missing = set().union(*(p for ps in parts for p in ps)).difference(self.keys())
-        if len(self) + len(missing) > CACHE:
-            self.clear()
-            missing = set().union(*(p for ps in parts for p in ps))
-        self.learn(list(missing))
-        bias, part = self.model.bias, self.__getitem__
-        # a sentence that lies further out than the taught ones is no surer than these
-        return [min(MOST, bias + max((sum(map(part, p)) for p in ps if p), default=0.0)) for ps in parts]
-
-
-def _margins(model: Model) -> Margins:
-    return held(("margins", model.key), lambda: Margins(model))
-
-
-def _text_margins(column: pa.Array, known: Margins) -> list[float]:
-    """Margins of a batch in blocks of about a megabyte, so long batches don't hold all their tokens."""
-    out: list[float] = []
-    block: list[bytes] = []
-    size = 0
-    for value in column:
-        text = value.as_py()
-        block.append(text)
-        size += len(text)
-        if size >= BLOCK:
-            out += known.of_texts(block)
-            block, size = [], 0
-    return out + known.of_texts(block)
-
-
-def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.string())
-    for batch in batches:
-        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
-            rows = [list(dict.fromkeys(w for t in p for w in units(t.decode("utf-8", "replace")))) for p in passages(text.as_py())]
-            rows = [r for r in rows if r]
-            yield pa.record_batch([pa.array([toxic] * len(rows), pa.int32()), pa.array(rows, kind)], names=["toxic", "words"])
+        return text_margins(texts, self.model).tolist()
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> DataFrame:
     """doc_id, text (bytes) and toxic of the bounded sample: the labelled rows with the smallest id hashes."""
-    known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).filter("labelled is not null")
+    given = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).filter("labelled is not null and toxic is not null")
+    known = given.groupBy("labelled").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     parts = [known.filter(F.col("toxic") == label).orderBy(F.xxhash64("labelled"), "labelled").limit(n) for label, n in sorted(sample.items())]
-    chosen = written(parts[0].union(parts[1]).dropDuplicates(["labelled"]))
+    chosen = written(parts[0].union(parts[1]))
     texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", F.col("text").cast("binary").alias("text"), "toxic")
     return written(texts.dropDuplicates(["text", "toxic"]))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """toxic, word and the number of texts that hold it, added up per batch."""
+    for batch in batches:
+        counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
+            count = counts[toxic]
+            whole = {w for t in set(text.as_py().split()) for w in units(t.decode("utf-8", "replace"))}
+            for word in whole | {w[: BEGINNING + 1] for w in whole if w[0] == FIRST and len(w) > BEGINNING + 2}:
+                count[word] = count.get(word, 0) + 1
+        for toxic, count in enumerate(counts):
+            yield pa.record_batch([pa.array([toxic] * len(count), pa.int32()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
+                                  names=["toxic", "word", "n"])
+
+
+def landmark_words(rows: DataFrame, totals: dict[int, int]) -> tuple[list[str], np.ndarray]:
+    """Half of the landmarks by evidence for toxic texts, the others by hash; and each one's evidence."""
+    each = rows.select("toxic", "text").mapInArrow(_words, "toxic int, word string, n long")
+    counted = each.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    counted = written(counted.filter(F.length("word") >= 5))
+    both, share = F.col("t") + F.col("c"), totals[1] / (totals[1] + totals[0])
+    part = lambda seen, exp: F.when(seen > 0, 2 * seen * F.log(seen / exp)).otherwise(0.0)
+    judged = counted.withColumn("g", F.when(F.col("t") > both * share, part(F.col("t"), both * share) + part(F.col("c"), both * (1 - share))).otherwise(0.0))
+    chosen: dict[str, float] = {}
+    for r in judged.filter("g > 0").orderBy(F.desc("g"), F.desc(F.length("word")), "word").limit(20 * LANDMARKS).collect():
+        core = r["word"].strip(FIRST + LAST)
+        alike = sum(core in other.strip(FIRST + LAST) or other.strip(FIRST + LAST) in core for other in chosen)
+        if len(chosen) < LANDMARKS // 2 and alike < 2:
+            chosen[r["word"]] = r["g"]
+    for r in judged.filter(F.endswith("word", F.lit(LAST))).orderBy(F.xxhash64("word"), "word").limit(LANDMARKS).collect():
+        if len(chosen) < LANDMARKS:
+            chosen.setdefault(r["word"], r["g"])
+    return list(chosen), np.array(list(chosen.values()))
+
+
+def coordinates(landmarks: list[str], evidence: np.ndarray) -> np.ndarray:
+    """The inverse root of the landmarks' kernel matrix, its rows scaled by what is known of each landmark: a doubtful one needs a greater weight."""
+    return np.maximum(0.05, evidence / (evidence + DOUBT))[:, None] * inverse_root(landmarks)
+
+
+def inverse_root(landmarks: list[str]) -> np.ndarray:
+    values, vectors = np.linalg.eigh(kernel(landmarks, Profiles(landmarks)).astype(float) + RIDGE * np.eye(len(landmarks)))
+    return (vectors / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] | None = None) -> Model:
     """The model learned from ``labels`` (doc_id, toxic); the caller leaves held-out labels away."""
     rows = sampled(narrow(docs, id_col, text_col), labels, sample or SAMPLE)
-    sentences = written(rows.select("toxic", "text").mapInArrow(_sentences, "toxic int, words array<string>").dropDuplicates(["toxic", "words"]))
-    counted = written(sentences.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model(share=n1 / (n1 + n0) if n1 + n0 else 0.0)
-    sums = counted.agg(F.sum("t"), F.sum("c")).first()
-    total1, total0 = float(sums[0] or 1), float(sums[1] or 1)
-    both = F.col("t") + F.col("c")
-    expected1, expected0 = both * (total1 / (total1 + total0)), both * (total0 / (total1 + total0))
-    part = lambda seen, exp: F.when(seen > 0, 2 * seen * F.log(seen / exp)).otherwise(0.0)
-    usable = counted.filter(F.length("word") >= 5).withColumn("g", part(F.col("t"), expected1) + part(F.col("c"), expected0))
-    first = lambda df, *order: [r["word"] for r in df.orderBy(*order, "word").limit(LANDMARKS).collect()]
-    telling = first(usable.filter(F.col("t") > expected1), F.desc("g"))
-    landmarks = list(dict.fromkeys(telling[: LANDMARKS // 2] + first(usable, F.xxhash64("word"))))[:LANDMARKS]
+    landmarks, evidence = landmark_words(rows, totals)
     if not landmarks:
         return Model(share=n1 / (n1 + n0))
-    values, vectors = np.linalg.eigh(kernel(landmarks, profiles(landmarks)).astype(float) + RIDGE * np.eye(len(landmarks)))
-    root = (vectors / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
-    taught = written(_features(sentences, landmarks, root))
-    n = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
-    # all sentences of toxic texts together weigh SHARE of the clean ones, as most of them are clean themselves
-    weight = SHARE * n.get(0, 1) / n.get(1, 1)
-    w = squared_hinge(lambda at: _active_sums(taught, at, weight), len(landmarks))
+    root = coordinates(landmarks, evidence)
+    taught = written(_features(rows, landmarks))
+    sentences = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    # all sentences of toxic texts together weigh SHARE of the clean ones
+    w = squared_hinge(lambda at: _active_sums(taught, root, at, SHARE * sentences[0] / sentences[1]), len(landmarks))
     model = Model(landmarks, (root @ w[:-1]).tolist(), float(w[-1]))
-    marked = _margin_rows(rows.select("doc_id", "text", "toxic"), model, "toxic")
-    pairs = marked.select("margin", "toxic").toPandas()
-    model.slope, model.shift = platt(pairs["margin"].to_numpy(float), pairs["toxic"].to_numpy(float))
+    model.curve = platt(*_evidence(rows, model)).tolist()
     return model
 
 
-def _features(sentences: DataFrame, landmarks: list[str], root: np.ndarray) -> DataFrame:
-    """toxic and x of every sentence: the sum of its words' coordinates, as 32-bit floats."""
+def _evidence(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The evidence and the label of each row of the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = profiles(landmarks)
         for batch in batches:
-            rows = batch.column("words").to_pylist()
-            at = {w: i for i, w in enumerate(dict.fromkeys(w for r in rows for w in r))}
-            each = (kernel(list(at), seen) @ root).astype(np.float32)
-            x = [each[[at[w] for w in r]].sum(0).tobytes() for r in rows]
-            yield pa.record_batch([batch.column("toxic"), pa.array(x, pa.binary())], names=["toxic", "x"])
+            found = text_evidence(batch.column("text").to_pylist(), model)
+            yield pa.record_batch([batch.column("toxic"), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["toxic", "evidence"])
+
+    pairs = rows.select("toxic", "text").mapInArrow(run, "toxic int, evidence array<double>").toPandas()
+    return np.array(pairs["evidence"].tolist()).reshape(-1, TOPS + 1), pairs["toxic"].to_numpy(float)
+
+
+def text_features(texts: list[bytes], known: Reader) -> list[np.ndarray]:
+    """For each text the similarities of its different windows; a window like no landmark is there once for the text."""
+    out: list[np.ndarray] = []
+    for low, high in blocks(texts):
+        x, owner, _, _ = known.windows(texts[low:high])
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(high - low + 1))
+        nothing = np.zeros((1, known.seen.size), np.float32)
+        out += [np.unique(np.concatenate((x[order[a:b]], nothing)), axis=0) for a, b in zip(cuts[:-1], cuts[1:])]
+    return out
+
+
+def _features(rows: DataFrame, landmarks: list[str]) -> DataFrame:
+    """toxic, n and x of every text: its number of different windows and their similarities as 32-bit floats."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = reader(landmarks)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                x = text_features(part.column("text").to_pylist(), known)
+                yield pa.record_batch([part.column("toxic"), pa.array([len(m) for m in x], pa.int64()), pa.array([m.tobytes() for m in x], pa.binary())], names=["toxic", "n", "x"])
+
+    return rows.select("toxic", "text").mapInArrow(run, "toxic int, n long, x binary")
+
 
-    return sentences.select("toxic", "words").mapInArrow(run, "toxic int, x binary")
+def newton_sums(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted x x' and, in the last column, y x of the rows with a hinge below 1."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    active = y * (x @ w) < 1
+    a = x[active] * c[active, None]
+    return np.hstack([a.T @ x[active], (a.T @ y[active])[:, None]])
 
 
-def _active_sums(taught: DataFrame, w: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+def _active_sums(taught: DataFrame, root: np.ndarray, w: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
     """The sums that a Newton step needs, added up by the tasks."""
     size = len(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size + 1))
         for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, size - 1)
-                x = np.hstack([x.astype(float), np.ones((len(x), 1))])
-                toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
-                y, c = np.where(toxic, 1.0, -1.0), np.where(toxic, weight, 1.0)
-                active = y * (x @ w) < 1
-                a = x[active] * c[active, None]
-                total += np.hstack([a.T @ x[active], (a.T @ y[active])[:, None]])
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float32).reshape(-1, size - 1) @ root
+                toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False) == 1, part.column("n").to_numpy(zero_copy_only=False))
+                total += newton_sums(x, np.where(toxic, 1.0, -1.0), np.where(toxic, weight, 1.0), w)
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     parts = taught.mapInArrow(run, "total binary").collect()
@@ -315,9 +465,8 @@ def _margin_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = ", ".join(["doc_id long", "margin double", *(f"{c} {kinds[c]}" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _margins(model)
         for batch in batches:
-            margins = pa.array(_text_margins(batch.column("text"), known), pa.float64())
+            margins = pa.array(text_margins(batch.column("text").to_pylist(), model), pa.float64())
             yield pa.record_batch([batch.column("doc_id"), margins, *(batch.column(c) for c in keep)], names=["doc_id", "margin", *keep])
 
     return rows.mapInArrow(run, schema)
@@ -339,9 +488,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``limit``."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _margins(model)
         for batch in batches:
-            yield pa.array(_text_margins(batch, known), pa.float64())
+            yield pa.array(text_margins(batch.to_pylist(), model), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     margin = F.arrow_udf(run, "double")(F.coalesce(ref(text_col), F.lit("")).cast("binary"))
