@@ -16,7 +16,7 @@ import numpy as np
 from plumbline.llm.common import held
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 1_000_000
+CACHE = 400_000
 # A longer word is not kept, so the cache's bytes are bounded too.
 KEPT_BYTES = 64
 

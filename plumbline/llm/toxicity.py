@@ -14,10 +14,12 @@ for toxic texts, however many there are and without a least value, at most two o
 cost more to weigh), never rows.
 The driver sees lists and matrices bounded by the number of landmarks and, for the curve, by the sample.
 
+Landmarks whose weight is below FELT of the largest are left out of the model.
+
 Scoring. A text's evidence is the margin of its most suspicious window, those of the second and third most suspicious half window (halves don't overlap), so that a mild word
 that comes back counts, and the logarithm of its length. A logistic curve over these four (Platt's, the classes weighted evenly) gives 0..1; its exponent
 is the text's margin. Runs of four or more single letters are also read as one word. The whole text is read, whatever its length.
-Each worker keeps the similarities of the tokens it met (at most KNOWN tokens with any, CACHE in all).
+Each worker keeps the similarities of the tokens it met (at most CACHE tokens, similarities in STEPS steps, one byte each).
 
 Cases: null, empty and wordless texts are scored as sentences without any known subsequence. Labels that are null, or of
 ids without a document, teach nothing; neither do ids with both labels. Repeated labels, and rows that agree in text and label, count once; rows of one id with different texts
@@ -55,11 +57,12 @@ PENALTY = 2.0
 DOUBT = 20.0
 FAINT = 0.01
 SPELLED = 4
-CACHE = 200_000
-KNOWN = 60_000
+CACHE = 300_000
+STEPS = 255
 BLOCK = 1 << 18
 TOPS = 3
 FURTHER = 3.0
+FELT = 0.02
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _BREAK = b"\xff"  # no byte of UTF-8
@@ -67,7 +70,9 @@ _BREAK = b"\xff"  # no byte of UTF-8
 
 def units(token: str) -> list[str]:
     """The words that a token of the text may stand for: its letter runs, and all its letters together."""
-    runs = _TOKEN.findall(token.lower())
+    lower = token.lower()
+    core = lower.strip(".,;:!?()\"'")
+    runs = [core] if core.isalpha() else _TOKEN.findall(lower)
     if len(runs) > 1:
         runs.append("".join(runs))
     out = []
@@ -202,34 +207,42 @@ class Reader(dict):
     def forget(self) -> None:
         self.clear()
         self[_BREAK] = 4
-        self.table = np.zeros((1024, self.seen.size), np.float32)
+        self.words: dict[str, int] = {}
+        self.table = np.zeros((1024, self.seen.size), np.uint8)
         self.rows = 1  # row 0: like no landmark
 
+    def _added(self, near: np.ndarray) -> int:
+        """The first of the new rows."""
+        first, self.rows = self.rows, self.rows + len(near)
+        if self.rows > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((max(self.rows, len(self.table)), self.seen.size), np.uint8)))
+        self.table[first : self.rows] = near
+        return first
+
     def learn(self, tokens: list[bytes]) -> None:
         for low in range(0, len(tokens), 20_000):
             part = tokens[low : low + 20_000]
             found = [units(t.decode("utf-8", "replace")) for t in part]
-            flat = list(dict.fromkeys(w for ws in found for w in ws))
-            near = kernel(flat, self.seen)
-            at = dict(zip(flat, np.where(near.any(1), np.arange(len(flat)), -1).tolist()))
+            flat = list({w for ws in found for w in ws if w not in self.words})
+            near = np.rint(kernel(flat, self.seen) * STEPS).astype(np.uint8)
+            like = near.any(1)
+            number = np.where(like, np.cumsum(like) - 1 + self._added(near[like]), 0)
+            self.words.update(zip(flat, number.tolist()))
             for token, ws in zip(part, found):
-                rows = [at[w] for w in ws if at[w] >= 0]
-                number = 0
-                if rows:
-                    number = self.rows
-                    self.rows += 1
-                    if number >= len(self.table):
-                        self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                    self.table[number] = near[rows[0]] if len(rows) == 1 else near[rows].max(0)
-                self[token] = 8 * number + 2 * (token[-1:] in b".!?") + (len(token) == 1 or len(token) < 5 and len(token.decode("utf-8", "replace")) == 1)
+                row = self.words[ws[0]] if ws else 0
+                if len(ws) > 1:
+                    rows = [r for r in map(self.words.__getitem__, ws) if r]
+                    row = rows[0] if len(rows) == 1 else self._added(self.table[rows].max(0)[None]) if rows else 0
+                self[token] = 8 * row + 2 * (token[-1:] in b".!?") + (len(token) == 1 or len(token) < 5 and len(token.decode("utf-8", "replace")) == 1)
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Similarities (windows, landmarks) and each one's place in ``texts``, then the same of half windows; what is like no landmark is left out."""
         parts = [t.replace(b"\n", b" \xff ").split() for t in texts]
-        missing = list(set().union(*parts).difference(self.keys()))
-        if len(self) + len(missing) > CACHE or self.rows > KNOWN:
+        there = set().union(*parts)
+        missing = [t for t in there if t not in self]
+        if len(self) + len(missing) > CACHE:
             self.forget()
-            missing = list(set().union(*parts).difference(self.keys()))
+            missing = [t for t in there if t != _BREAK]
         self.learn(missing)
         tokens = [t for p in parts for t in (*p, _BREAK)]
         code = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
@@ -248,7 +261,7 @@ class Reader(dict):
             return spelled, owner, spelled, owner
         of = number[near]
         start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        half = np.maximum.reduceat(self.table[code[near] >> 3], start)
+        half = np.maximum.reduceat(self.table[code[near] >> 3], start).astype(np.float32) / STEPS
         of, at = of[start], near[start]
         ends = np.append(np.flatnonzero(first)[1:], len(code))[np.cumsum(first) - 1][at]
         inside, halves = (at - begin[at]) // step, -(-(ends - begin[at]) // step)
@@ -391,7 +404,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sentences = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     # all sentences of toxic texts together weigh SHARE of the clean ones
     w = squared_hinge(lambda at: _active_sums(taught, root, at, SHARE * sentences[0] / sentences[1]), len(landmarks))
-    model = Model(landmarks, (root @ w[:-1]).tolist(), float(w[-1]))
+    weights = root @ w[:-1]
+    felt = np.flatnonzero(np.abs(weights) >= FELT * np.abs(weights).max(initial=0.0))
+    model = Model([landmarks[i] for i in felt], weights[felt].tolist(), float(w[-1]))
     model.curve = platt(*_evidence(rows, model)).tolist()
     return model
 
@@ -408,55 +423,59 @@ def _evidence(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_features(texts: list[bytes], known: Reader) -> list[np.ndarray]:
-    """For each text the similarities of its different windows; a window like no landmark is there once for the text."""
+    """For each text the similarities of its windows; those like no landmark are one row for the text."""
     out: list[np.ndarray] = []
     for low, high in blocks(texts):
         x, owner, _, _ = known.windows(texts[low:high])
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(high - low + 1))
         nothing = np.zeros((1, known.seen.size), np.float32)
-        out += [np.unique(np.concatenate((x[order[a:b]], nothing)), axis=0) for a, b in zip(cuts[:-1], cuts[1:])]
+        out += [np.concatenate((x[order[a:b]], nothing)) for a, b in zip(cuts[:-1], cuts[1:])]
     return out
 
 
 def _features(rows: DataFrame, landmarks: list[str]) -> DataFrame:
-    """toxic, n and x of every text: its number of different windows and their similarities as 32-bit floats."""
+    """toxic, n and x of every text: its number of windows and their similarities in STEPS steps."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = reader(landmarks)
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
                 x = text_features(part.column("text").to_pylist(), known)
-                yield pa.record_batch([part.column("toxic"), pa.array([len(m) for m in x], pa.int64()), pa.array([m.tobytes() for m in x], pa.binary())], names=["toxic", "n", "x"])
+                yield pa.record_batch([part.column("toxic"), pa.array([len(m) for m in x], pa.int64()), pa.array([np.rint(m * STEPS).astype(np.uint8).tobytes() for m in x], pa.binary())],
+                                      names=["toxic", "n", "x"])
 
     return rows.select("toxic", "text").mapInArrow(run, "toxic int, n long, x binary")
 
 
 def newton_sums(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Weighted x x' and, in the last column, y x of the rows with a hinge below 1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     active = y * (x @ w) < 1
     a = x[active] * c[active, None]
     return np.hstack([a.T @ x[active], (a.T @ y[active])[:, None]])
 
 
 def _active_sums(taught: DataFrame, root: np.ndarray, w: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """The sums that a Newton step needs, added up by the tasks."""
+    """The sums that a Newton step needs, added up by the tasks over plain similarities and turned by ``root`` here."""
     size = len(w)
+    turn = np.eye(size)
+    turn[:-1, :-1] = root
+    plain = turn @ w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size + 1))
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float32).reshape(-1, size - 1) @ root
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.uint8).reshape(-1, size - 1).astype(np.float32) / STEPS
                 toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False) == 1, part.column("n").to_numpy(zero_copy_only=False))
-                total += newton_sums(x, np.where(toxic, 1.0, -1.0), np.where(toxic, weight, 1.0), w)
+                total += newton_sums(x, np.where(toxic, 1.0, -1.0).astype(np.float32), np.where(toxic, weight, 1.0).astype(np.float32), plain.astype(np.float32))
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     parts = taught.mapInArrow(run, "total binary").collect()
-    total = sum(np.frombuffer(r["total"]).reshape(size, size + 1) for r in parts)
-    return total[:, :-1], total[:, -1]
+    total = turn.T @ sum(np.frombuffer(r["total"]).reshape(size, size + 1) for r in parts)
+    return total[:, :-1] @ turn, total[:, -1]
 
 
 def _margin_rows(rows: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -69,7 +69,7 @@ def brute_windows(text, known):
         now = []
 
     def row(token):
-        return known.table[known[token] >> 3]
+        return known.table[known[token] >> 3].astype(np.float32) / tox.STEPS
 
     halves, windows, step = [], [], tox.PASSAGE // 2
     for s in filter(None, sentences):
