@@ -2,21 +2,22 @@
 
 ``quantile_values`` places a bracket around each wanted rank from a sample, then one pass counts what
 lies below each bracket and lists the few values inside, which proves the answer. ``running``
-range-partitions on (keys, order), so a key holding a third of the rows is spread over many tasks,
-and carries totals across partitions.
+cuts (keys, order) into slices, so a key holding a third of the rows is spread over many tasks,
+and carries totals across slices.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.columns import quoted, ref, slices
-from plumbline.session import materialize
 
 ACCURACY = 10_000
 SAMPLE_ROWS = 150_000
@@ -24,6 +25,10 @@ LARGE_SAMPLE_ROWS = 10_000_000
 # A bracket expected to hold more rows than this is narrowed again before its values are listed.
 BRACKET_ROWS = 100_000
 PART = "_part"
+# Running values: rows of a slice, the most slices of a table, and the rows from which their boundaries are fitted.
+SLICE_ROWS = 250_000
+MAX_SLICES = 2_000
+SAMPLED = 20_000
 
 
 @dataclass
@@ -226,6 +231,32 @@ def quantiles(df: DataFrame, targets: dict[str, list[float]], method: str = "lin
     return df.sparkSession.createDataFrame(found, "column string, q double, value double")
 
 
+def slice_bounds(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> list:
+    """Rows of (keys, order) that cut ``df`` into about equal slices, fitted in one pass over these columns.
+
+    The driver sees at most SAMPLED rows, and keeps MAX_SLICES - 1 of them at most.
+    """
+    seen = Observation()
+    narrow = df.select(*[ref(c).alias(f"c{i}") for i, c in enumerate(keys + order)]).observe(seen, F.count(F.lit(1)).alias("n"))
+    names = narrow.columns
+    some = narrow.orderBy(F.xxhash64(*names)).limit(SAMPLED).orderBy(*names).collect()
+    n = slices or min(MAX_SLICES, -(-seen.get["n"] // SLICE_ROWS))
+    picked = [some[i * len(some) // n] for i in range(1, n)] if some else []
+    return [row for i, row in enumerate(picked) if not i or row != picked[i - 1]]
+
+
+def slice_of(df: DataFrame, columns: list[str], bounds: list) -> Column:
+    """How many of the sorted ``bounds`` a row of ``columns`` has reached: a function of its values only."""
+    if not bounds:
+        return F.lit(0)
+    kind = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(columns)])
+    listed = F.array(*[F.struct(*[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields)]) for row in bounds])
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    here = F.struct(*[ref(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    reached = lambda at: F.when(at <= len(bounds), F.get(listed, at - 1) <= here).otherwise(False)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(reached(low + step), low + step).otherwise(low))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -238,25 +269,48 @@ def running(
 ) -> DataFrame:
     """Running sum / max, first value and previous value per key in ``order`` (ascending).
 
-    Each argument maps an output column to an input column. Rows equal in (keys, order) must be
-    few: they share a partition. At most one key continues from each partition to the next, so the
-    carried rows number no more than the partitions and are safe to broadcast.
+    Each argument maps an output column to an input column. (keys, order) is cut into slices of about SLICE_ROWS rows (or
+    ``partitions`` slices) at boundaries fitted from a sample; a row's slice follows from its values, so nothing is written and whole
+    rows are shuffled once, by (keys, slice). Only keys that hold a boundary reach into several slices: their totals, at most two
+    rows a slice, are added up first and the carried ones broadcast. ``df`` is read three times (sample, totals, result) and has to
+    give the same rows each time. Rows equal in (keys, order) must be few: they share a slice.
     """
     sums, maxes, firsts, lags = sums or {}, maxes or {}, firsts or {}, lags or {}
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = materialize(
-        df.repartitionByRange(n, *[ref(c) for c in keys + order]).withColumn(PART, F.spark_partition_id())
+    bounds = slice_bounds(df, keys, order, partitions)
+    spread = df.withColumn(PART, slice_of(df, keys + order, bounds))
+    local = W.partitionBy(*[ref(c) for c in keys], PART).orderBy(*[ref(c) for c in order])
+    upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
+    windowed = spread.select(
+        "*",
+        *[F.sum(ref(c)).over(upto).alias(f"_ws_{o}") for o, c in sums.items()],
+        *[F.max(ref(c)).over(upto).alias(f"_wm_{o}") for o, c in maxes.items()],
+        *[F.first(F.struct(ref(c))).over(upto).alias(f"_wf_{o}") for o, c in firsts.items()],
+        *[F.lag(F.struct(ref(c))).over(local).alias(f"_wl_{o}") for o, c in lags.items()],
     )
+    if not bounds:
+        return windowed.select(
+            *[ref(c) for c in df.columns],
+            *[ref(f"_ws_{o}").alias(o) for o in sums],
+            *[ref(f"_wm_{o}").alias(o) for o in maxes],
+            *[ref(f"_wf_{o}")[c].alias(o) for o, c in firsts.items()],
+            *[ref(f"_wl_{o}")[c].alias(o) for o, c in lags.items()],
+        )
     place = F.struct(*[ref(c) for c in order])
-    totals = spread.groupBy(*[ref(c) for c in keys], PART).agg(
+    some = spread
+    if keys:
+        held = df.sparkSession.createDataFrame(
+            list(dict.fromkeys(tuple(row)[: len(keys)] for row in bounds)),
+            T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keys)]))
+        match = [ref(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+        some = spread.join(F.broadcast(held), functools.reduce(lambda a, b: a & b, match), "left_semi")
+    totals = some.groupBy(*[ref(c) for c in keys], PART).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(ref(c)).alias(f"_s_{o}") for o, c in sums.items()],
         *[F.max(ref(c)).alias(f"_m_{o}") for o, c in maxes.items()],
         *[F.min_by(F.struct(ref(c)), place).alias(f"_f_{o}") for o, c in firsts.items()],
         *[F.max_by(F.struct(ref(c)), place).alias(f"_l_{o}") for o, c in lags.items()],
     )
-    by_part = W.partitionBy(*[ref(c) for c in keys]).orderBy(PART)
+    by_part = W.partitionBy(*([ref(c) for c in keys] or [F.lit(0)])).orderBy(PART)
     before = by_part.rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(
         *[ref(c).alias(f"_k{i}") for i, c in enumerate(keys)],
@@ -270,15 +324,6 @@ def running(
     match = F.col(PART) == F.col("_kp")
     for i, c in enumerate(keys):
         match = match & ref(c).eqNullSafe(F.col(f"_k{i}"))
-    local = W.partitionBy(*[ref(c) for c in keys], PART).orderBy(*[ref(c) for c in order])
-    upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
-    windowed = spread.select(
-        "*",
-        *[F.sum(ref(c)).over(upto).alias(f"_ws_{o}") for o, c in sums.items()],
-        *[F.max(ref(c)).over(upto).alias(f"_wm_{o}") for o, c in maxes.items()],
-        *[F.first(F.struct(ref(c))).over(upto).alias(f"_wf_{o}") for o, c in firsts.items()],
-        *[F.lag(F.struct(ref(c))).over(local).alias(f"_wl_{o}") for o, c in lags.items()],
-    )
     joined = windowed.join(F.broadcast(carry), match, "left")
 
     def summed(o: str) -> Column:

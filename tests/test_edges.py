@@ -100,6 +100,20 @@ def test_running_matches_a_window_with_a_hot_key(spark):
         assert a[t].s == pytest.approx(r.s) if r.s is not None else a[t].s is None
 
 
+def test_running_over_the_whole_table_and_over_one_key(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["x"] * 5 + [None, "y", "z"]), None if i % 97 == 0 else i // 2, i, rng.choice([None, 1, 2, 3])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v int").repartition(6)
+    for keys in ([], ["k"]):
+        got = R.running(df, keys, ["t", "i"], sums={"s": "v"}, maxes={"m": "v"}, firsts={"f": "v"}, lags={"p": "v"}, partitions=11)
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy("t", "i")
+        upto = w.rowsBetween(W.unboundedPreceding, 0)
+        want = df.select("i", F.sum("v").over(upto).alias("s"), F.max("v").over(upto).alias("m"), F.first("v").over(upto).alias("f"), F.lag("v").over(w).alias("p"))
+        a, b = ({r.i: (r.s, r.m, r.f, r.p) for r in x.collect()} for x in (got, want))
+        assert a == b and len(a) == 3000
+    assert R.running(df.limit(0), ["k"], ["t"], sums={"s": "v"}).count() == 0
+
+
 def test_drift_of_a_table_with_itself_is_zero(noisy):
     for formula in ("standard", "reference"):
         assert {r["score"] for r in D.drift(noisy, noisy, formula=formula).collect()} == {0.0}

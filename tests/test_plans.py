@@ -6,6 +6,7 @@ from plumbline.operators import cleaning as C
 from plumbline.operators import drift as D
 from plumbline.operators import history as H
 from plumbline.operators import profile as P
+from plumbline.operators import ranks as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +46,25 @@ def test_ranks_are_limited_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan_of(df)
 
 
+def test_running_values_shuffle_whole_rows_once(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for partitions in (1, 8):
+        out = R.running(events, ["event_type"], ["ts", "event_id"], sums={"s": "value"}, lags={"p": "value"}, partitions=partitions)
+        rows = plan_of(out).split("BroadcastExchange")[0]  # what lies before the carried totals
+        assert rows.count("Exchange hashpartitioning(event_type") == rows.count("Exchange") == 1
+        assert rows.count("FileScan parquet") == 1 and "ExistingRDD" not in rows  # read from the table, not from a checkpoint
+
+
+def test_slices_depend_on_values_only(spark):
+    rows = [(k, t) for k in (None, "", "a", "b") for t in (None, float("nan"), -1.5, 0.0, float("inf"), *map(float, range(50)))]
+    df = spark.createDataFrame(rows, "k string, t double").repartition(5)
+    bounds = R.slice_bounds(df, ["k"], ["t"], 7)
+    assert 3 <= len(bounds) <= 6
+    got = df.withColumn("slice", R.slice_of(df, ["k", "t"], bounds)).orderBy("k", "t").collect()
+    numbers = [r["slice"] for r in got]
+    assert numbers == sorted(numbers) and set(numbers) == set(range(len(bounds) + 1))
+
+
 def test_no_python_in_built_in_operators(spark):
     df = lineitem(spark)
     frames = [P.profile(df), P.quality_issues(df), D.drift(df, df), C.fill_missing(df, "l_tax", "mean")]
