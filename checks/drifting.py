@@ -9,6 +9,7 @@ from checks.common import derived, rounded, table, with_, scratch
 from plumbline.operators import drift as D
 from plumbline.operators import features as X
 from plumbline.operators import metrics as M
+from plumbline.operators import linear as LI
 from plumbline.operators import model as ML
 from plumbline.operators import sampling as S
 
@@ -224,12 +225,38 @@ def _automl_numbers(spark, d):
                      _small("regression", algorithms=["random_forest", "linear"])).metrics
 
 
-def _history(spark, d):
-    """Algorithms of all trials of a search with the documented number of them."""
-    config = ML.AutoMLConfig("classification", ["logistic", "random_forest"], trials=30, folds=2,
-                             space={"n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 3), "learning_rate": ("log", 0.01, 0.3)})
-    found = ML.automl(_labelled(spark, d), ["n_chars", "words"], "quality", ["doc_id"], config)
-    return found.trials.groupBy("algorithm").agg(F.count(F.lit(1)).alias("trials"))
+def _line_search(spark, d):
+    """The documented budget, 30 trials x 5 folds, over all rows; folds and held-out rows by the order's number, as SQL can take them too."""
+    return LI.linear_search(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", ["l_orderkey"], ML.AutoMLConfig("regression"),
+                            fold=F.col("l_orderkey") % 5, held_out=F.col("l_orderkey") % 7 == 0)
+
+
+PENALTIES = ", ".join(f"({i}, {p['learning_rate']!r}::DOUBLE)" for i, p in enumerate(ML.draw_trials(ML.AutoMLConfig("regression"))))
+LINE_SEARCH = f"""WITH p(trial, penalty) AS (VALUES {PENALTIES}),
+l AS (SELECT l_quantity AS x, l_extendedprice AS y, l_orderkey % 5 AS fold FROM lineitem WHERE l_orderkey % 7 <> 0),
+f AS (SELECT DISTINCT fold FROM l),
+fit AS (SELECT f.fold, regr_slope(y, x) AS slope, avg(x) AS mx, avg(y) AS my FROM f JOIN l ON l.fold <> f.fold GROUP BY f.fold),
+own AS (SELECT fold, count(*) AS n, avg(x) AS ax, avg(y) AS ay, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cxy FROM l GROUP BY fold),
+scores AS (SELECT trial, penalty, fold,
+  sqrt(vy - 2 * slope / (1 + penalty) * cxy + (slope / (1 + penalty)) ** 2 * vx + (ay - my - slope / (1 + penalty) * (ax - mx)) ** 2) AS rmse
+  FROM p, fit JOIN own USING (fold)),
+trials AS (SELECT trial, penalty, avg(rmse) AS score FROM scores GROUP BY trial, penalty),
+best AS (SELECT * FROM trials ORDER BY score, trial LIMIT 1) """
+
+
+def _line_model(spark, d):
+    found = _line_search(spark, d)
+    rows = [("penalty", found.penalty), ("intercept", found.intercept), ("l_quantity", found.weights["l_quantity"]), ("score", found.score)]
+    return rounded(spark.createDataFrame(rows, "name string, value double").union(found.metrics), 4)
+
+
+def _line_model_sql() -> str:
+    return LINE_SEARCH + """, every_row AS (SELECT regr_slope(l_extendedprice, l_quantity) / (1 + penalty) AS w, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem, best GROUP BY penalty),
+train AS (SELECT regr_slope(y, x) / (1 + penalty) AS w, avg(x) AS mx, avg(y) AS my FROM l, best GROUP BY penalty),
+unseen AS (SELECT avg((l_extendedprice - my - w * (l_quantity - mx)) ** 2) AS mse, var_pop(l_extendedprice) AS v FROM lineitem, train WHERE l_orderkey % 7 = 0)
+SELECT 'penalty' AS name, round(penalty, 4) AS value FROM best UNION ALL SELECT 'score', round(score, 4) FROM best UNION ALL SELECT 'l_quantity', round(w, 4) FROM every_row
+UNION ALL SELECT 'intercept', round(my - w * mx, 4) FROM every_row UNION ALL SELECT 'mse', round(mse, 4) FROM unseen UNION ALL SELECT 'rmse', round(sqrt(mse), 4) FROM unseen
+UNION ALL SELECT 'r2', round(1 - mse / v, 4) FROM unseen"""
 
 
 def _permuted(spark, d):
@@ -356,7 +383,12 @@ CHECKS = {
         lambda s, d: ML.ensemble(_ensemble_inputs(s, d)[0], _ensemble_inputs(s, d)[1], "prediction", vote=True),
         ENSEMBLE + "SELECT l_orderkey, l_linenumber, CASE WHEN a + b + c >= 2 THEN 1 ELSE 0 END AS prediction FROM x"),
     "trial_history_30": (
-        _history, "SELECT algorithm, count(*) AS trials FROM (SELECT CASE WHEN i % 2 = 0 THEN 'logistic' ELSE 'random_forest' END AS algorithm FROM (SELECT unnest(range(30)) AS i)) GROUP BY 1"),
+        lambda s, d: rounded(_line_search(s, d).trials.select("trial", "penalty", "score")),
+        LINE_SEARCH + "SELECT trial::INT AS trial, round(penalty, 6) AS penalty, round(score, 6) AS score FROM trials"),
+    "linear_search_folds": (
+        lambda s, d: rounded(_line_search(s, d).trials.select("trial", F.posexplode("fold_scores").alias("fold", "rmse"))),
+        LINE_SEARCH + "SELECT trial::INT AS trial, fold::INT AS fold, round(rmse, 6) AS rmse FROM scores"),
+    "linear_search_model": (_line_model, _line_model_sql()),
     "automl_trials": (lambda s, d: _automl(s, d).trials.select("trial", "algorithm", "score"), None),
     "automl_regression_metrics": (_automl_numbers, None),
     "feature_importance": (lambda s, d: _automl(s, d).importance, None),
