@@ -76,6 +76,33 @@ def cached_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
+PRIME = (1 << 31) - 1
+_BASE = 0x4B1D2C3F
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE^i and _BASE^-i modulo PRIME for i below n."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, PRIME)):
+        steps = np.ones(n, np.uint64)
+        done = 1
+        while done < n:
+            more = min(done, n - done)
+            steps[done : done + more] = steps[:more] * np.uint64(pow(b, done, PRIME)) % np.uint64(PRIME)
+            done += more
+        out.append(steps)
+    return out[0], out[1]
+
+
+_PRIME_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def cached_prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _PRIME_POWERS or len(_PRIME_POWERS[0][0]) < n:
+        _PRIME_POWERS[:] = [prime_powers(max(n, SLICE + 1))]
+    return _PRIME_POWERS[0]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,7 +123,13 @@ def _hash_block(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
     length = (end - begin).astype(np.uint64)
-    return begin, mix((total[end] - total[begin]) * inverse[begin] + length * np.uint64(0xD6E8FEB86659FD93))
+    # sums modulo 2^64 agree for some long words of two letters, whatever the base; a second sum modulo a prime tells them apart
+    power31, inverse31 = cached_prime_powers(n)
+    terms = (_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power31[:n]
+    total31 = np.zeros(n + 1, np.uint64)
+    np.cumsum(terms if n < 1 << 23 else terms % np.uint64(PRIME), out=total31[1:])
+    second = (total31[end] - total31[begin]) % np.uint64(PRIME) * inverse31[begin] % np.uint64(PRIME)
+    return begin, mix((total[end] - total[begin]) * inverse[begin] + length * np.uint64(0xD6E8FEB86659FD93) + mix(second))
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
