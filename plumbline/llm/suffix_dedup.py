@@ -62,7 +62,7 @@ def _anchors(size: int):
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
                 found = [signed(window_runs(np.frombuffer(t.as_buffer(), np.uint8), size)[0]) for t in part.column("text")]
-                yield pa.record_batch([part.column("key"), pa.array(found, kind)], names=["key", "anchors"])
+                yield pa.record_batch([part.column("doc_id"), part.column("key"), pa.array(found, kind)], names=["doc_id", "key", "anchors"])
 
     return run
 
@@ -71,26 +71,33 @@ def _contexts(size: int):
     """The contexts of a text's listed runs. Bytes go along only with the first of equal contexts that a task meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        held: list[tuple] = []
+        size_held = 0
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*held))
+            held.clear()
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+                                   names=["anchor", "context", "key", "first", "windows", "copies", "bytes"])
+
         for batch in batches:
             for key, text, wanted, copies in zip(batch.column("key"), batch.column("text"), batch.column("runs"), batch.column("copies")):
-                raw = text.as_py()
+                raw, key, copies = text.as_py(), key.as_py(), copies.as_py()
                 anchors, first, count = window_runs(np.frombuffer(raw, np.uint8), size)
                 at = np.sort(wanted.values.to_numpy(zero_copy_only=False))
-                firsts, counts = first[at], count[at]
-                names, pieces = [], []
-                for low, n in zip(firsts.tolist(), counts.tolist()):
+                for anchor, low, n in zip(signed(anchors[at]).tolist(), first[at].tolist(), count[at].tolist()):
                     piece = raw[low : low + n + size - 1]
                     name = _key(piece)
-                    names.append(name)
-                    pieces.append(None if name in seen else piece)
+                    held.append((anchor, name, key, low, n, copies, None if name in seen else piece))
+                    size_held += 100 if name in seen else len(piece)
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                n = len(at)
-                yield pa.record_batch(
-                    [pa.array(signed(anchors[at])), pa.array(names, pa.binary()), pa.array([key.as_py()] * n, pa.binary()), pa.array(firsts, pa.int32()),
-                     pa.array(counts, pa.int32()), pa.array([copies.as_py()] * n, pa.int64()), pa.array(pieces, pa.binary())],
-                    names=["anchor", "context", "key", "first", "windows", "copies", "bytes"])
+                if size_held >= BLOCK:
+                    yield made()
+                    size_held = 0
+        if held:
+            yield made()
 
     return run
 
@@ -186,13 +193,16 @@ def _text_key(text):
 
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """key, windows: for every text (doc_id, text in ``docs``) with repeats, unless it has copies, its ranges of repeated windows."""
-    texts = docs.filter(F.octet_length("text") >= size).select(_text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
-    rows = written(texts.mapInArrow(_anchors(size), "key binary, anchors array<long>"))
-    distinct = rows.groupBy("key").agg(F.first("anchors").alias("anchors"), F.count("*").alias("copies"))
+    texts = docs.filter(F.octet_length("text") >= size).select("doc_id", _text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
+    rows = written(texts.mapInArrow(_anchors(size), "doc_id long, key binary, anchors array<long>"))
+    # one row bears a text for all its copies; it is chosen on narrow columns, so copies of texts are never sorted or made single
+    distinct = rows.groupBy("key").agg(F.first("anchors").alias("anchors"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("bearer"))
     again = rows.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    runs = distinct.select("key", "copies", F.posexplode("anchors").alias("run", "anchor")).join(again, "anchor", "left_semi")
-    wanted = runs.groupBy("key").agg(F.first("copies").alias("copies"), F.collect_list("run").alias("runs"))
-    found = texts.join(wanted, "key").dropDuplicates(["key"]).mapInArrow(_contexts(size), _CONTEXT)
+    runs = distinct.select("key", "copies", F.col("bearer.doc_id").alias("bearer"), F.posexplode("anchors").alias("run", "anchor")).join(again, "anchor", "left_semi")
+    wanted = runs.groupBy("key").agg(F.first("copies").alias("copies"), F.first("bearer").alias("bearer"), F.collect_list("run").alias("runs"))
+    # rows of one id and text bear it twice; its contexts count as repeated either way
+    bears = (F.col("key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("bearer"))
+    found = texts.join(wanted.withColumnRenamed("key", "wanted_key"), bears).mapInArrow(_contexts(size), _CONTEXT)
     found = written(found)
     # one row a context; max passes over the nulls of contexts whose bytes went before
     contexts = written(found.groupBy("context").agg(F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.sum("copies").alias("copies"), F.max("bytes").alias("bytes")))

@@ -124,3 +124,20 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_duplicates(empty).count() == 0
     assert exact_dedup.first_of_each(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(word) == 2048
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, [(1, word), (2, other), (3, word)])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_text_with_very_many_copies_and_one_more_passage(spark):
+    shared, alone = prose(80), prose(60)
+    rows = [(i, shared) for i in range(400)] + [(900, "before " + shared + " behind"), (901, alone), (None, shared), (5, shared)]
+    got = {(r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {(i, b"") for i in [*range(400), None]} | {(900, b"before  behind"), (901, alone.encode())}
