@@ -12,7 +12,7 @@ import functools
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,15 +232,16 @@ def quantiles(df: DataFrame, targets: dict[str, list[float]], method: str = "lin
 
 
 def slice_bounds(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> list:
-    """Rows of (keys, order) that cut ``df`` into about equal slices, fitted in one pass over these columns.
+    """Rows of (keys, order) that cut ``df`` into about equal slices, fitted in one pass over these columns and a count.
 
-    The driver sees at most SAMPLED rows, and keeps MAX_SLICES - 1 of them at most.
+    The driver sees at most SAMPLED rows, and keeps MAX_SLICES - 1 of them at most. (The count is no ``observe``: once a
+    session observes, models that hold it can't be sent to tasks any more.)
     """
-    seen = Observation()
-    narrow = df.select(*[ref(c).alias(f"c{i}") for i, c in enumerate(keys + order)]).observe(seen, F.count(F.lit(1)).alias("n"))
+    narrow = df.select(*[ref(c).alias(f"c{i}") for i, c in enumerate(keys + order)])
     names = narrow.columns
     some = narrow.orderBy(F.xxhash64(*names)).limit(SAMPLED).orderBy(*names).collect()
-    n = slices or min(MAX_SLICES, -(-seen.get["n"] // SLICE_ROWS))
+    rows = len(some) if len(some) < SAMPLED or slices else narrow.count()
+    n = slices or min(MAX_SLICES, -(-rows // SLICE_ROWS))
     picked = [some[i * len(some) // n] for i in range(1, n)] if some else []
     return [row for i, row in enumerate(picked) if not i or row != picked[i - 1]]
 
