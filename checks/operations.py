@@ -86,6 +86,7 @@ NAMES_SQL = (
     "SELECT id, name, regexp_full_match(name, '[A-Za-z][A-Za-z0-9_]*') AND length(name) <= 100 AS name_ok, id % 3 <> 0 AS uuid_ok FROM "
     "(SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT s_suppkey, replace(s_name, '#', '_') FROM supplier)")
 
+# Fixed values, repeated here for an independent comparison.
 BANNED = ["DROP ", "DELETE ", "TRUNCATE ", "ALTER ", "CREATE ", "INSERT ", "UPDATE ", "GRANT ", "REVOKE ", "EXEC ", "EXECUTE ", "XP_", "SP_", "--", "/*", "*/"]
 QUERY = "CASE doc_id % 3 WHEN 0 THEN text ELSE concat(' select ', text) END"
 
@@ -120,6 +121,7 @@ CHANGE_SQL = (
     f"WITH t AS (SELECT doc_id, lower({NEW_TEXT}) AS l, {WORDS.format(c='text')} AS a, {WORDS.format(c=NEW_TEXT)} AS b FROM documents) "
     "SELECT doc_id, round(least(0.3, 0.05 * (" + " + ".join(f"contains(l, '{w}')::INT" for w in ("improve", "add", "clarify", "specific", "example"))
     + ") + 0.1 * (1 - len(list_intersect(a, b)) / greatest(len(a), 1)::DOUBLE)), 3)::DOUBLE AS gain FROM t")
+# Fixed values, repeated here for an independent comparison.
 TAGS = {"data loading": "loader", "cleaning": "cleaning", "analysis": "profile", "features": "features", "model": "model", "api": "serving",
         "docker": "packaging", "deploy": "deployment", "drift": "drift"}
 FEEDBACK = "concat(text, CASE doc_id % 5 WHEN 0 THEN ' The MODEL and its Features' WHEN 1 THEN ' data loading' ELSE '' END)"
