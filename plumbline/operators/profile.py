@@ -12,7 +12,6 @@ from plumbline.columns import (
     comparable,
     numeric_columns,
     pick,
-    quoted,
     ref,
     rows_from,
     slices,
@@ -20,6 +19,7 @@ from plumbline.columns import (
     text,
     union_all,
 )
+from plumbline.operators.pairs import pair_correlations
 from plumbline.operators.ranks import quantiles
 
 # Weights of completeness, uniqueness and validity, and the assumed validity.
@@ -214,21 +214,14 @@ def correlations(
 ) -> DataFrame:
     """Pearson correlation of every numeric pair above ``threshold``, strongest first.
 
-    Rows with a null in either column of a pair do not count for it. All pairs are aggregated in one scan for every
-    AGG_WIDTH of them.
+    Rows with a null in either column of a pair do not count for it. All pairs come from one scan of the columns
+    (``pairs``); a pair with a column without spread, with NaN or with infinities has no correlation.
     """
     chosen = pick(df, cols, numeric_columns(df))[:max_cols]
-    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1 :]]
-    if not pairs:
+    if len(chosen) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    parts = []
-    for part in slices(pairs):
-        # by its square, as a column without spread is an error for corr() in ANSI mode; its covariance is 0 here
-        one = df.agg(*[F.expr(f"signum(covar_pop({x}, {y})) * sqrt(regr_r2({x}, {y}))").alias(f"r{i}") for i, (x, y) in enumerate(
-            (f"CAST({quoted(a)} AS DOUBLE)", f"CAST({quoted(b)} AS DOUBLE)") for a, b in part)])
-        parts.append(rows_from(one, [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)]))
-    gathered = union_all(parts)
-    strong = ~F.isnan("r") & (F.abs("r") > threshold)
+    gathered = pair_correlations(df, chosen)
+    strong = F.abs("r") > threshold
     return (
         gathered.filter(strong)
         .orderBy(F.abs("r").desc(), "column_a", "column_b")
