@@ -76,17 +76,29 @@ SHIFT = ("ref_orders", "shifted_orders")
 SCORES_SQL = f", s AS ({sql_drift('shifted_orders')}) "
 SUMMARY_SQL = "SELECT avg(score) AS overall_score, avg(score) > 0.2 AS drift_detected, count(*) AS features_monitored, count(*) FILTER (level <> 'NONE') AS features_with_drift FROM s"
 
+# the Kolmogorov distribution in its other form, which converges where the alternating series does not
+KS_TAIL = "CASE WHEN scale > 0 THEN 1 - sqrt(2 * pi()) / scale * list_sum([exp(-pow((2 * k - 1) * pi() / scale, 2) / 8) for k in range(1, 200)]) ELSE 1 END"
 KS_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", round(max(abs(a / (SELECT count(*) FROM ref_orders)::DOUBLE - b / (SELECT count(*) FROM cur_orders)::DOUBLE)), 6) AS statistic "
+    f"SELECT \"column\", round(statistic, 6) AS statistic, round(greatest(0, least(1, {KS_TAIL})), 6)::DOUBLE AS p_value FROM (SELECT *, (z + 0.12 + 0.11 / z) * statistic AS scale FROM ("
+    f"SELECT '{c}' AS \"column\", max(abs(a / n - b / m)) AS statistic, any_value(sqrt(n * m / (n + m))) AS z "
     f"FROM (SELECT v, sum(r) OVER (ORDER BY v) AS a, sum(q) OVER (ORDER BY v) AS b FROM (SELECT v, sum(r) AS r, sum(q) AS q FROM ("
-    f"SELECT {c}::DOUBLE AS v, 1 AS r, 0 AS q FROM ref_orders UNION ALL SELECT {c}::DOUBLE, 0, 1 FROM cur_orders) GROUP BY v))"
+    f"SELECT {c}::DOUBLE AS v, 1 AS r, 0 AS q FROM ref_orders UNION ALL SELECT {c}::DOUBLE, 0, 1 FROM cur_orders) GROUP BY v)), "
+    f"(SELECT count(*)::DOUBLE AS n FROM ref_orders), (SELECT count(*)::DOUBLE AS m FROM cur_orders)))"
     for c in ("o_custkey", "o_orderkey", "o_totalprice"))
 
 
-def chi_sql(c: str) -> str:
-    return (f"SELECT '{c}' AS \"column\", round(sum(pow(rn - (rn + cn) * rt / (rt + ct), 2) / ((rn + cn) * rt / (rt + ct)) "
-            f"+ pow(cn - (rn + cn) * ct / (rt + ct), 2) / ((rn + cn) * ct / (rt + ct))), 6) AS statistic, count(*) - 1 AS dof "
-            f"FROM ({sql_cats(c, 'ref_orders', 'shifted_orders')})")
+def chi_tail(x: str, dof: str) -> str:
+    """Upper tail of chi-squared: one minus a sum of positive terms, each from the logarithm of the gamma function."""
+    a, h = f"({dof} / 2.0)", f"({x} / 2.0)"
+    return (f"CASE WHEN {dof} < 1 THEN NULL WHEN {x} <= 0 THEN 1 WHEN {x} > 4000 + 4 * {dof} THEN 0 ELSE greatest(0, 1 - list_sum("
+            f"[exp(({a} + i) * ln({h}) - {h} - lgamma({a} + i + 1)) for i in range(9000)])) END::DOUBLE")
+
+
+def chi_sql(c: str, cur: str = "shifted_orders") -> str:
+    return (f"SELECT '{c}' AS \"column\", round(x, 6) AS statistic, dof, round({chi_tail('x', 'dof')}, 6) AS p_value FROM (SELECT "
+            f"sum(pow(rn - (rn + cn) * rt / (rt + ct), 2) / ((rn + cn) * rt / (rt + ct)) "
+            f"+ pow(cn - (rn + cn) * ct / (rt + ct), 2) / ((rn + cn) * ct / (rt + ct))) AS x, count(*) - 1 AS dof "
+            f"FROM ({sql_cats(c, 'ref_orders', cur)}))")
 
 
 def js_sql(c: str, numeric: bool) -> str:
@@ -186,6 +198,55 @@ def md5_number(key: str, seed: int = 42) -> str:
     return f"('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT"
 
 
+def slot_sql(c: str, source: str) -> str:
+    """Bin of ten over the column's own range, as text; null has one of its own."""
+    low, width = f"(SELECT min({c}) FROM {source})", f"((SELECT max({c}) - min({c}) FROM {source}) / 10.0::DOUBLE)"
+    return f"CASE WHEN {c} IS NULL THEN 'missing' ELSE least(floor(({c} - {low}) / {width}), 9)::BIGINT::VARCHAR END"
+
+
+def class_scores_sql(source: str, target: str, categories: dict[str, str]) -> str:
+    """Information and chi-squared from each cell's own expectation."""
+    parts = []
+    for c, value in categories.items():
+        parts.append(f"SELECT '{c}' AS \"column\", sum(CASE WHEN n > 0 THEN n / t * ln(n * t / (v * k)) ELSE 0 END) AS info, sum(pow(n - e, 2) / e) AS x, "
+                     f"any_value((vs - 1) * (ks - 1)) AS dof FROM (SELECT *, v * k / t AS e, (SELECT count(DISTINCT {target}) FROM {source}) AS ks, count(DISTINCT val) OVER () AS vs FROM ("
+                     f"SELECT val, cls, n, sum(n) OVER (PARTITION BY val) AS v, sum(n) OVER (PARTITION BY cls) AS k, sum(n) OVER () AS t FROM ("
+                     f"SELECT val, cls, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT {value} AS val FROM {source}) CROSS JOIN (SELECT DISTINCT {target}::VARCHAR AS cls FROM {source}) "
+                     f"LEFT JOIN (SELECT {value} AS val, {target}::VARCHAR AS cls, count(*) AS n FROM {source} GROUP BY 1, 2) USING (val, cls))))")
+    cells = " UNION ALL ".join(parts)
+    return f"SELECT \"column\", round(info, 6) AS mutual_information, round(x, 4) AS statistic, dof, round({chi_tail('x', 'dof')}, 6) AS p_value FROM ({cells})"
+
+
+def _told(spark, d):
+    return table(spark, d, "labels").withColumnRenamed("doc_id", "d").join(table(spark, d, "documents"), F.col("doc_id") == F.col("d")).drop("d", "text")
+
+
+TOLD_SQL = "told AS (SELECT l.quality, l.toxic, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id)) "
+LINE_CATS = {"l_linestatus": "coalesce(l_linestatus, 'missing')", **{c: slot_sql(c, "lineitem") for c in ("l_linenumber", "l_discount", "l_quantity")}}
+TOLD_CATS = {**{c: f"coalesce({c}, 'missing')" for c in ("lang", "source")}, **{c: slot_sql(c, "told") for c in ("quality", "n_chars")}}
+
+
+def _class_scores(df, target, cols):
+    found = rounded(X.class_scores(df, target, cols), 6, "mutual_information", "p_value")
+    return rounded(found, 4, "statistic")
+
+
+def out_of_fold_sql(cols: list[str], folds: int = 5) -> str:
+    """Codes from the rows of the other folds, summed over them and not by subtraction."""
+    fold = f"{md5_number('l_orderkey')} % {folds}"
+    rows = f"WITH r AS (SELECT l_orderkey, l_linenumber, l_tax, {', '.join(cols)}, {fold} AS f FROM lineitem), fs AS (SELECT DISTINCT f FROM r), "
+    tables = ["o AS (SELECT fs.f, avg(l_tax) AS o FROM fs JOIN r ON r.f <> fs.f GROUP BY fs.f)"]
+    for c in cols:
+        tables.append(f"s_{c} AS (SELECT {c} AS v, f, sum(l_tax) AS t, count(*) AS n FROM r GROUP BY 1, 2)")
+        tables.append(f"c_{c} AS (SELECT s.v, fs.f, (sum(s.t) + 10 * any_value(o)) / (sum(s.n) + 10) AS code FROM fs JOIN s_{c} s ON s.f <> fs.f JOIN o ON o.f = fs.f GROUP BY 1, 2)")
+    picked = ", ".join(f"round(coalesce(c_{c}.code, o), 6) AS target__{c}" for c in cols)
+    joins = " ".join(f"LEFT JOIN c_{c} ON c_{c}.v = r.{c} AND c_{c}.f = r.f" for c in cols)
+    return rows + ", ".join(tables) + f" SELECT l_orderkey, l_linenumber, {picked} FROM r JOIN o ON o.f = r.f {joins}"
+
+
+OUT_OF_FOLD = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey", "l_partkey"]
+
+
 def _split(spark, d):
     train, test = S.hash_split(table(spark, d, "events"), ["event_id"])
     return train.select("event_id", F.lit("train").alias("part")).unionByName(test.select("event_id", F.lit("test").alias("part")))
@@ -324,9 +385,11 @@ CHECKS = {
         "SELECT 'o_totalprice' AS \"column\", b::INT AS bin, round(lo + b * w, 6) AS low, round(CASE WHEN b = 9 THEN hi ELSE lo + (b + 1) * w END, 6) AS high, "
         "(SELECT count(*) FROM orders WHERE o_totalprice >= lo + b * w AND CASE WHEN b = 9 THEN o_totalprice <= hi ELSE o_totalprice < lo + (b + 1) * w END) AS count "
         "FROM (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, (max(o_totalprice) - min(o_totalprice)) / 10 AS w FROM orders) e, (SELECT unnest(range(10)) AS b) g"),
-    "ks_two_sample": (lambda s, d: rounded(D.ks_two_sample(*both(s, d))).drop("p_value"), with_("ref_orders", "cur_orders", body=KS_SQL)),
-    "chi2_two_sample": (lambda s, d: rounded(D.chi2_two_sample(*both(s, d, "shifted_orders"), ["o_orderstatus", "o_orderpriority"])).drop("p_value"),
+    "ks_two_sample": (lambda s, d: rounded(D.ks_two_sample(*both(s, d))), with_("ref_orders", "cur_orders", body=KS_SQL)),
+    "chi2_two_sample": (lambda s, d: rounded(D.chi2_two_sample(*both(s, d, "shifted_orders"), ["o_orderstatus", "o_orderpriority"])),
                         with_(*SHIFT, body=chi_sql("o_orderstatus") + " UNION ALL " + chi_sql("o_orderpriority"))),
+    "chi2_p_values": (lambda s, d: rounded(D.chi2_two_sample(*[x.withColumn("o_custkey", F.col("o_custkey").cast("string")) for x in both(s, d)], ["o_orderstatus", "o_orderpriority", "o_custkey"])),
+                      with_("ref_orders", "cur_orders", body=" UNION ALL ".join(chi_sql(c, "cur_orders") for c in ("o_orderstatus", "o_orderpriority", "o_custkey")))),
     "js_divergence": (lambda s, d: rounded(D.js_divergence(*both(s, d), ["o_totalprice", "o_orderpriority"])),
                       with_("ref_orders", "cur_orders", body=js_sql("o_totalprice", True) + " UNION ALL " + js_sql("o_orderpriority", False))),
     "drift_by_window": (_windows, window_sql(5)),
@@ -360,6 +423,16 @@ CHECKS = {
     "select_features": (
         lambda s, d: rounded(X.select_features(table(s, d, "part"), "p_retailprice", 1)),
         "SELECT 'p_partkey' AS \"column\", round(abs(corr(p_partkey, p_retailprice)), 6) AS score FROM part"),
+    "class_scores_lineitem": (
+        lambda s, d: _class_scores(table(s, d, "lineitem"), "l_returnflag", list(LINE_CATS)), class_scores_sql("lineitem", "l_returnflag", LINE_CATS)),
+    "class_scores_labels": (
+        lambda s, d: _class_scores(_told(s, d), "toxic", list(TOLD_CATS)), "WITH " + TOLD_SQL + class_scores_sql("told", "toxic", TOLD_CATS)),
+    "select_for_class": (
+        lambda s, d: rounded(X.select_for_class(table(s, d, "lineitem"), "l_returnflag", 2, list(LINE_CATS))),
+        f"SELECT \"column\", mutual_information AS score FROM ({class_scores_sql('lineitem', 'l_returnflag', LINE_CATS)}) ORDER BY score DESC, \"column\" LIMIT 2"),
+    "target_out_of_fold": (
+        lambda s, d: rounded(X.out_of_fold_target(table(s, d, "lineitem"), OUT_OF_FOLD, "l_tax", ["l_orderkey"])).select(
+            "l_orderkey", "l_linenumber", *[f"target__{c}" for c in OUT_OF_FOLD]), out_of_fold_sql(OUT_OF_FOLD)),
     "hash_split": (_split, f"SELECT event_id, CASE WHEN {md5_number('event_id')} % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM events"),
     "sample_rows": (lambda s, d: S.auto_sample(table(s, d, "events"), ["event_id"], threshold=500, size=777).select("event_id", "value"),
                     f"SELECT event_id, value FROM events ORDER BY {md5_number('event_id')}, event_id LIMIT 777"),

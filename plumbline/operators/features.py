@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.columns import numeric_columns, pick, quoted, ref, slices, string_columns
+from plumbline.columns import NESTED, finite, numeric_columns, pick, quoted, ref, slices, string_columns
+from plumbline.functions.scores import chi2_p_value
 from plumbline.operators.ranks import quantile_values, running
+from plumbline.operators.sampling import hash_number
 from plumbline.session import materialize
 
 # Names taken as the target, in order, and the text for a missing category.
@@ -192,8 +194,7 @@ def fit_features(df: DataFrame, plan: FeaturePlan | None = None) -> FeatureModel
     if plan.encoding == "onehot":
         _fit_onehot(df, model)
     elif plan.encoding in ("label", "onehot_sparse"):
-        for c in groups:
-            _keep_lookup(model, c, label_codes(df, c), -1.0)
+        _keep_lookups(model, label_codes(df, groups), -1.0)
     elif plan.encoding == "target":
         _fit_target(df, model)
     return model
@@ -258,20 +259,34 @@ def _fit_onehot(df: DataFrame, model: FeatureModel) -> None:
     model.categories = {c: sorted(v) for c, v in model.categories.items()}
 
 
-def _keep_lookup(model: FeatureModel, col: str, codes: DataFrame, default: float) -> None:
-    """Write a category table once and note its size."""
+def _keep_lookups(model: FeatureModel, codes: DataFrame, default: float) -> None:
+    """Write the category tables of all columns once and note their sizes."""
     table = materialize(codes)
-    model.lookups[col], model.defaults[col] = table, default
-    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
-    model.sizes[col], model.text_bytes[col] = size
+    sizes = {r[0]: (r[1], r[2]) for r in table.groupBy("column").agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).collect()}
+    for c in model.plan.categorical:
+        model.lookups[c] = table.filter(F.col("column") == c).select("value", "code")
+        model.defaults[c] = default
+        model.sizes[c], model.text_bytes[c] = sizes.get(c, (0, 0))
 
 
-def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """``value, code`` with codes 0, 1, ... in text order, ranked without a single-task sort."""
-    value = F.coalesce(ref(col).cast("string"), F.lit(MISSING))
-    values = df.select(value.alias("value")).distinct().withColumn("one", F.lit(1))
-    ranked = running(values, [], ["value"], sums={"rank": "one"})
-    return ranked.select("value", (F.col("rank") - 1).cast("double").alias("code"))
+def _categories(df: DataFrame, cols: list[str], *carry: Column) -> DataFrame:
+    """``column, value`` and what is carried along, a row for each cell: one scan whatever the number of columns."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.coalesce(ref(c).cast("string"), F.lit(MISSING)).alias("value")) for c in cols]
+    kind = "array<struct<column: string, value: string>>"
+    return df.select(*carry, F.inline(F.array(*pairs) if pairs else F.array().cast(kind)))
+
+
+def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``column, value, code`` with codes 0, 1, ... a column in text order, ranked without a single-task sort."""
+    values = _categories(df, cols).distinct().withColumn("one", F.lit(1))
+    ranked = running(values, ["column"], ["value"], sums={"rank": "one"})
+    return ranked.select("column", "value", (F.col("rank") - 1).cast("double").alias("code"))
+
+
+def _smoothed(total: Column, rows: Column, overall: Column, smoothing: float) -> Column:
+    """Mean of a category, drawn to the overall mean by as many rows as ``smoothing`` says."""
+    weight = rows + F.lit(float(smoothing))
+    return F.when(weight > 0, (total + F.lit(float(smoothing)) * overall) / weight).otherwise(overall)
 
 
 def _fit_target(df: DataFrame, model: FeatureModel) -> None:
@@ -281,13 +296,106 @@ def _fit_target(df: DataFrame, model: FeatureModel) -> None:
         raise ValueError("target encoding needs a numeric target")
     y = ref(plan.target).cast("double")
     overall = df.agg(F.avg(y)).first()[0] or 0.0
-    for c in plan.categorical:
-        weight = F.lit(plan.smoothing)
-        smooth = (F.coalesce(F.sum(y), F.lit(0.0)) + weight * F.lit(overall)) / (F.count(y) + weight)
-        if plan.smoothing == 0:
-            smooth = F.coalesce(F.avg(y), F.lit(overall))
-        codes = df.groupBy(model._category(c).alias("value")).agg(smooth.alias("code"))
-        _keep_lookup(model, c, codes, overall)
+    sums = _categories(df, plan.categorical, y.alias("y")).groupBy("column", "value").agg(
+        F.coalesce(F.sum("y"), F.lit(0.0)).alias("total"), F.count("y").alias("rows"))
+    code = _smoothed(F.col("total"), F.col("rows"), F.lit(overall), plan.smoothing)
+    _keep_lookups(model, sums.select("column", "value", code.alias("code")), overall)
+
+
+def out_of_fold_target(
+    df: DataFrame, cols: list[str], target: str, key: list[str], folds: int = 5, smoothing: float = 10.0, seed: int = 42
+) -> DataFrame:
+    """The rows with a code ``target__<column>`` for each of ``cols``: the smoothed target mean of the row's category,
+    taken from the other folds, so that a row's own target never enters its code.
+
+    Rows fall into folds by the hash of ``key``. Sums by (column, value, fold) of all columns come from one scan; a row's
+    own fold is left out by subtraction. A category that no other fold holds gets their overall mean. A null, NaN or
+    infinite target counts nowhere, and its row is coded like any other; a null category is one of its own.
+    """
+    if folds < 2:
+        raise ValueError("codes from other folds need two folds")
+    chosen = pick(df, cols, [])
+    fold = hash_number(key, seed) % folds
+    coded = _categories(df, chosen, fold.alias("fold"), finite(ref(target)).alias("y"))
+    whole = df.select(fold.alias("fold"), finite(ref(target)).alias("y"))
+    by_fold = {r[0]: (r[1] or 0.0, r[2]) for r in whole.groupBy("fold").agg(F.sum("y"), F.count("y")).collect()}
+    total, rows = (sum(v[i] for v in by_fold.values()) for i in (0, 1))
+    others = []
+    for f in range(folds):
+        t, n = by_fold.get(f, (0.0, 0))
+        others.append(float((total - t) / (rows - n)) if rows > n else 0.0)
+    sums = coded.groupBy("column", "value", "fold").agg(
+        F.coalesce(F.sum("y"), F.lit(0.0)).alias("total"), F.count("y").alias("rows"))
+    own = [F.struct(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(c) for c in ("total", "rows")]) for f in range(folds)]
+    held = sums.groupBy("column", "value").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"), F.array(*own).alias("own"))
+    codes = [_smoothed(F.when(F.col("rows") > F.col("own")[f]["rows"], F.col("total") - F.col("own")[f]["total"]).otherwise(0.0),
+                       F.col("rows") - F.col("own")[f]["rows"], F.lit(others[f]), smoothing) for f in range(folds)]
+    table = materialize(held.select("column", "value", F.array(*codes).alias("codes")))
+    sizes = {r[0]: r[1:] for r in table.groupBy("column").agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).collect()}
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    out, made = df.withColumn(f"{mark}fold", fold), []
+    for i, c in enumerate(chosen):
+        one = table.filter(F.col("column") == c).select(F.col("value").alias(f"{mark}v{i}"), F.col("codes").alias(f"{mark}c{i}"))
+        n, size = sizes.get(c, (0, 0))
+        if n * folds <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+            one = F.broadcast(one)
+        out = out.join(one, F.coalesce(ref(c).cast("string"), F.lit(MISSING)) == F.col(f"{mark}v{i}"), "left")
+        made.append(F.col(f"{mark}c{i}")[F.col(f"{mark}fold")].alias(f"target__{c}"))
+    return out.select(*[ref(c) for c in df.columns], *made)
+
+
+def class_scores(df: DataFrame, target: str, cols: list[str] | None = None, bins: int = 10) -> DataFrame:
+    """``column, mutual_information, statistic, dof, p_value``: how much a column tells of the class in ``target``.
+
+    All columns are counted with the class together, in one scan after the one that fits ranges. Numeric columns fall into
+    ``bins`` of equal width; null, NaN and infinities are one category more. Information is in nats, the statistic is
+    chi-squared. Rows without a class don't count; a column with one category tells nothing (no p-value).
+    """
+    chosen = [c for c in pick(df, cols, [f.name for f in df.schema if not isinstance(f.dataType, NESTED)]) if c != target]
+    empty = "column string, mutual_information double, statistic double, dof long, p_value double"
+    if not chosen:
+        return df.sparkSession.createDataFrame([], empty)
+    known = df.filter(ref(target).isNotNull())
+    numbers, ranges = [c for c in chosen if c in numeric_columns(df, "all")], {}
+    for part in slices(numbers, 50):
+        if part:
+            row = known.agg(*[fn(finite(ref(c))) for c in part for fn in (F.min, F.max)]).first()
+            ranges.update({c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(part)})
+
+    def category(c: str) -> Column:
+        if c not in ranges:
+            return F.coalesce(ref(c).cast("string"), F.lit(MISSING))
+        (low, high), value = ranges[c], finite(ref(c))
+        width = 0.0 if low is None else (high - low) / bins
+        slot = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width else F.lit(0)
+        slot = F.when(value.isNotNull(), slot)
+        return F.coalesce(slot.cast("string"), F.lit(MISSING))
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), category(c).alias("value")) for c in chosen])
+    label = ref(target).cast("string").alias("class")
+    cells = known.select(label, F.inline(pairs)).groupBy("column", "value", "class").agg(F.count(F.lit(1)).alias("n"))
+    classes = known.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    n, n_class, n_value = F.col("n"), F.col("n_class"), F.col("n_value")
+    by_value = cells.join(classes, "class").groupBy("column", "value").agg(
+        F.sum("n").alias("n_value"), F.sum(n * (F.log(n) - F.log(n_class))).alias("logs"),
+        F.sum(n * n / n_class).alias("squares"), F.sum(n / n_class).alias("classes"))
+    # every row has a category in every column, so a column's shares of the classes add up to their number
+    by_column = by_value.groupBy("column").agg(
+        F.sum("n_value").alias("n"), F.count(F.lit(1)).alias("values"), F.round(F.sum("classes")).cast("long").alias("classes"),
+        F.sum(F.col("logs") - n_value * F.log(n_value)).alias("logs"), F.sum(F.col("squares") / n_value).alias("squares"))
+    dof = (F.col("values") - 1) * (F.col("classes") - 1)
+    statistic = F.greatest(F.lit(0.0), n * (F.col("squares") - 1))
+    return by_column.select(
+        "column", F.greatest(F.lit(0.0), F.col("logs") / n + F.log(n)).alias("mutual_information"), statistic.alias("statistic"),
+        dof.alias("dof"), chi2_p_value(statistic, dof).alias("p_value"))
+
+
+def select_for_class(df: DataFrame, target: str, k: int, cols: list[str] | None = None, bins: int = 10, alpha: float = 1.0) -> DataFrame:
+    """``column, score``: the ``k`` columns with most information on the class whose p-value is at most ``alpha``."""
+    found = class_scores(df, target, cols, bins).filter(F.col("p_value") <= alpha)
+    return found.orderBy(F.desc("mutual_information"), "column").limit(k).select("column", F.col("mutual_information").alias("score"))
 
 
 def select_features(df: DataFrame, target: str, k: int, cols: list[str] | None = None, min_variance: float = 0.0) -> DataFrame:
