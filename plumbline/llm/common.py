@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -206,12 +208,25 @@ def graph_components(edges: DataFrame) -> DataFrame:
 _HELD: dict = {}
 
 
-def held(key: tuple, make: Callable):
-    """``make()``, kept by this worker until it needs something else: workers outlive a stage, so their caches must not add up."""
-    if key not in _HELD:
+def release() -> None:
+    """Drops what earlier stages left in this worker and hands its memory back to the system.
+
+    Workers outlive a stage, so without this the caches of all stages of a job add up in one executor.
+    """
+    if _HELD:
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":  # freed blocks of many small objects stay with the C library until it is told
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+
+def held(key: tuple, make: Callable):
+    """``make()``, kept by this worker until it needs something else."""
+    if key not in _HELD:
+        release()
         _HELD[key] = make()
     return _HELD[key]
 

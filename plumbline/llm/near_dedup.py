@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.columns import ref
-from plumbline.llm.common import graph_components, keep_rows, mix, narrow, signed, slices_of, text_bytes, word_hashes, written
+from plumbline.llm.common import graph_components, keep_rows, mix, narrow, release, signed, slices_of, text_bytes, word_hashes, written
 
 WIDTH = 5
 PERMUTATIONS = 64
@@ -98,6 +98,7 @@ def _class_key(found: np.ndarray) -> bytes:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     empty = _class_key(np.zeros(0, np.uint64))
     for batch in batches:
         for low, high, sets in _sets_of(batch):
@@ -111,6 +112,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for _, _, sets in _sets_of(batch):
             yield pa.record_batch([pa.array([_class_key(s) for s in sets], pa.binary()),
