@@ -62,7 +62,9 @@ SIZE_OK = "size_bytes <= 104857600"
 
 
 def files(spark, d):
-    return spark.sql(FILES.replace("FROM pages", "FROM {pages}"), pages=table(spark, d, "pages"))
+    # length is a 32-bit number in Spark and a 64-bit one in DuckDB
+    wide = FILES.replace("length(html)", "CAST(length(html) AS BIGINT)")
+    return spark.sql(wide.replace("FROM pages", "FROM {pages}"), pages=table(spark, d, "pages"))
 
 
 def _quarantine(spark, d):
