@@ -66,12 +66,19 @@ FELT = 0.02
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 _BREAK = b"\xff"  # no byte of UTF-8
+ENDS = (b".", b"!", b"?")
 
 
 def units(token: str) -> list[str]:
     """The words that a token of the text may stand for: its letter runs, and all its letters together."""
-    lower = token.lower()
+    return units_of(token.lower())
+
+
+def units_of(lower: str) -> list[str]:
+    """``units`` of a token in lower case."""
     core = lower.strip(".,;:!?()\"'")
+    if core.isalpha() and len(core) <= WINDOW:
+        return [FIRST + core + LAST]
     runs = [core] if core.isalpha() else _TOKEN.findall(lower)
     if len(runs) > 1:
         runs.append("".join(runs))
@@ -93,12 +100,12 @@ def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(words: list[str], length: int) -> np.ndarray:
-    """(words, subsequences) of table indices."""
-    points = np.array([[ord(c) for c in w] for w in words], np.int64).reshape(len(words), length)
+    """(subsequences, words) of table indices."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length).T.astype(np.int32)
     letters = np.where((points >= 97) & (points <= 122), points - 97, 26 + points % (LETTERS - 28))
-    letters = np.where(points == ord(FIRST), LETTERS - 2, np.where(points == ord(LAST), LETTERS - 1, letters))
+    letters = np.where(points == ord(FIRST), LETTERS - 2, np.where(points == ord(LAST), LETTERS - 1, letters)).astype(np.int32)
     at, _ = _places(length)
-    return (letters[:, at[:, 0]] * LETTERS + letters[:, at[:, 1]]) * LETTERS + letters[:, at[:, 2]]
+    return (letters[at[:, 0]] * LETTERS + letters[at[:, 1]]) * LETTERS + letters[at[:, 2]]
 
 
 class Profiles:
@@ -109,26 +116,29 @@ class Profiles:
         held: dict[int, dict[int, float]] = {}
         for j, word in enumerate(landmarks):
             if len(word) >= 3:
-                for code, weight in zip(_codes([word], len(word))[0].tolist(), _places(len(word))[1].tolist()):
+                for code, weight in zip(_codes([word], len(word))[:, 0].tolist(), _places(len(word))[1].tolist()):
                     row = held.setdefault(code, {})
                     row[j] = row.get(j, 0.0) + weight
         self.start = np.zeros(LETTERS**3 + 1, np.int64)
         for code, row in held.items():
             self.start[code + 1] = len(row)
+        self.count = self.start[1:].astype(np.uint8 if self.size < 256 else np.int32)
         self.start = np.cumsum(self.start)
         pairs = [pair for code in sorted(held) for pair in sorted(held[code].items())]
         self.landmark = np.array([j for j, _ in pairs], np.int64)
         self.weight = np.array([w for _, w in pairs], np.float64)
 
     def products(self, codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """(words, landmarks) products of words' profiles, given as rows of subsequences, with the landmarks'."""
-        n = self.start[codes + 1] - self.start[codes]
-        word, place = np.nonzero(n)
-        n, first = n[word, place], self.start[codes[word, place]]
+        """(words, landmarks) products of words' profiles, given as columns of subsequences, with the landmarks'."""
+        words = codes.shape[1]
+        n = self.count[codes].ravel()
+        held = np.flatnonzero(n)
+        place, word = np.divmod(held, words)
+        n, first = n[held].astype(np.int64), self.start[codes.ravel()[held]]
         ends = np.cumsum(n)
         at = np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        cell = np.repeat(word, n) * self.size + self.landmark[at]
-        return np.bincount(cell, np.repeat(weight[place], n) * self.weight[at], len(codes) * self.size).reshape(len(codes), self.size)
+        cell = np.repeat(word * self.size, n) + self.landmark[at]
+        return np.bincount(cell, np.repeat(weight[place], n) * self.weight[at], words * self.size).reshape(words, self.size)
 
 
 def kernel(words: list[str], seen: Profiles) -> np.ndarray:
@@ -222,18 +232,25 @@ class Reader(dict):
     def learn(self, tokens: list[bytes]) -> None:
         for low in range(0, len(tokens), 20_000):
             part = tokens[low : low + 20_000]
-            found = [units(t.decode("utf-8", "replace")) for t in part]
+            # no token holds a space, so all are decoded at once
+            plain = b" ".join(part).decode("utf-8", "replace")
+            found = list(map(units_of, plain.lower().split(" ")))
             flat = list({w for ws in found for w in ws if w not in self.words})
             near = np.rint(kernel(flat, self.seen) * STEPS).astype(np.uint8)
             like = near.any(1)
             number = np.where(like, np.cumsum(like) - 1 + self._added(near[like]), 0)
             self.words.update(zip(flat, number.tolist()))
-            for token, ws in zip(part, found):
-                row = self.words[ws[0]] if ws else 0
-                if len(ws) > 1:
-                    rows = [r for r in map(self.words.__getitem__, ws) if r]
+            row_of, code = self.words, []
+            for token, letters, ws in zip(part, plain.split(" "), found):
+                if len(ws) == 1:
+                    row = row_of[ws[0]]
+                elif ws:
+                    rows = [r for r in map(row_of.__getitem__, ws) if r]
                     row = rows[0] if len(rows) == 1 else self._added(self.table[rows].max(0)[None]) if rows else 0
-                self[token] = 8 * row + 2 * (token[-1:] in b".!?") + (len(token) == 1 or len(token) < 5 and len(token.decode("utf-8", "replace")) == 1)
+                else:
+                    row = 0
+                code.append(8 * row + 2 * token.endswith(ENDS) + (len(letters) == 1))
+            self.update(zip(part, code))
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Similarities (windows, landmarks) and each one's place in ``texts``, then the same of half windows; what is like no landmark is left out."""

@@ -1,5 +1,6 @@
 """The string kernel, the machine and its text evidence against direct definitions."""
 
+import cProfile
 import itertools
 import random
 
@@ -126,3 +127,20 @@ def test_a_mild_word_counts_when_it_comes_back():
     model = tox.Model(["<trash>"], [1.0], -0.5, curve=[1.0, 2.0, 2.0, 0.0, 1.0])
     one, three = tox.Margins(model).of_texts([b"trassh here. fine.", b"trassh here. trassh there. so trassh."])
     assert one < three
+
+
+def test_new_tokens_cost_few_calls():
+    """Words are coded side by side and a block's tokens decoded at once; what a token stands for stays the same."""
+    letters = "etaoinshrdlu"
+    tokens = [("".join(letters[(i // 12**k) % 12] for k in range(5)) + "xyz"[i % 3] * (i % 4) + ("." if i % 5 else "")).encode() for i in range(20_000)]
+    odd = ["ΑΣ".encode(), "ΑΣ.".encode(), b"\xe2\x82", b"\xffab", "é".encode(), b"x", b"a.b", b"w" * 60, "İ".encode()]
+    known = tox.Reader(["<table>", "<house>", "<ασ>", "<rodent>"])
+    watch = cProfile.Profile()
+    watch.enable()
+    known.learn(tokens + odd)
+    watch.disable()
+    assert sum(entry.callcount for entry in watch.getstats()) < 15 * len(tokens)
+    for token in tokens[::400] + odd:
+        alone = tox.Reader(["<table>", "<house>", "<ασ>", "<rodent>"])
+        alone.learn([token])
+        assert (known[token] & 7) == (alone[token] & 7) and (known.table[known[token] >> 3] == alone.table[alone[token] >> 3]).all()
