@@ -197,8 +197,8 @@ def stream_of(spark, d, name: str, order: str = "ts"):
     low, high = rows.agg(F.min(value), F.max(value)).first()
     part = F.coalesce(F.least(F.lit(STREAM_FILES - 1), F.floor((value - low) / ((high - low) or 1.0) * STREAM_FILES)), F.lit(0))
     for i in range(STREAM_FILES):
-        # written one after the other, so that the source lists them in this order
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        # written one after the other, so that the source lists them in this order; the table is read by many tasks
+        rows.filter(part == i).repartition(1).write.mode("append").parquet(path)
     return load_stream(spark, path, rows.schema, "parquet", maxFilesPerTrigger="1")
 
 
