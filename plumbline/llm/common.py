@@ -105,15 +105,15 @@ def cached_prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _PRIME_POWERS[0]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def _hash_block(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
-    inside = ~_SPACE[raw]
+    inside = ~SPACE[raw]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     edge[n] = True
@@ -121,6 +121,11 @@ def _hash_block(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     begin = np.flatnonzero(inside & (~before | edge[:n]))
     after = np.concatenate((inside[1:], [False]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return begin, _hash_spans(raw, begin, end)
+
+
+def _hash_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(raw)
     power, inverse = cached_powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
@@ -131,7 +136,19 @@ def _hash_block(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     total31 = np.zeros(n + 1, np.uint64)
     np.cumsum(terms if n < 1 << 23 else terms % np.uint64(PRIME), out=total31[1:])
     second = (total31[end] - total31[begin]) % np.uint64(PRIME) * inverse31[begin] % np.uint64(PRIME)
-    return begin, mix((total[end] - total[begin]) * inverse[begin] + length * np.uint64(0xD6E8FEB86659FD93) + mix(second))
+    return mix((total[end] - total[begin]) * inverse[begin] + length * np.uint64(0xD6E8FEB86659FD93) + mix(second))
+
+
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from ``begin`` to ``end``, both ascending, A-Z lower-cased; block by block, so memory stays bounded by the block or the longest span."""
+    out = np.zeros(len(begin), np.uint64)
+    low = 0
+    while low < len(begin):
+        base = int(begin[low])
+        high = max(low + 1, int(np.searchsorted(end, base + SLICE, side="right")))
+        out[low:high] = _hash_spans(raw[base : end[high - 1]], begin[low:high] - base, end[low:high] - base)
+        low = high
+    return out
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +171,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         while low < high:
             stop = min(low + SLICE, high)
             if stop < high:
-                gap = np.flatnonzero(_SPACE[raw[low:stop]])
+                gap = np.flatnonzero(SPACE[raw[low:stop]])
                 if len(gap):
                     stop = low + int(gap[-1]) + 1
                 else:  # a word longer than a block: up to its end
-                    more = np.flatnonzero(_SPACE[raw[stop:high]])
+                    more = np.flatnonzero(SPACE[raw[stop:high]])
                     stop = stop + int(more[0]) + 1 if len(more) else high
             _, hashed = _hash_block(raw[low:stop], np.zeros(1, np.int64))
             hashes.append(hashed)

@@ -19,7 +19,7 @@ Landmarks whose weight is below FELT of the largest are left out of the model.
 Scoring. A text's evidence is the margin of its most suspicious window, those of the second and third most suspicious half window (halves don't overlap), so that a mild word
 that comes back counts, and the logarithm of its length. A logistic curve over these four (Platt's, the classes weighted evenly) gives 0..1; its exponent
 is the text's margin. Runs of four or more single letters are also read as one word. The whole text is read, whatever its length.
-Each worker keeps the similarities of the tokens it met (at most CACHE tokens, similarities in STEPS steps, one byte each).
+Each worker keeps the similarities of the words it met last (about CACHE words, similarities in STEPS steps, one byte each): when half of them are new, the older half is forgotten.
 
 Cases: null, empty and wordless texts are scored as sentences without any known subsequence. Labels that are null, or of
 ids without a document, teach nothing; neither do ids with both labels. Repeated labels, and rows that agree in text and label, count once; rows of one id with different texts
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.columns import ref
-from plumbline.llm.common import held, narrow, written
+from plumbline.llm.common import SPACE, held, narrow, span_hashes, written
 
 LETTERS = 40
 SPAN = 7
@@ -56,6 +56,7 @@ RIDGE = 0.05
 PENALTY = 2.0
 DOUBT = 20.0
 FAINT = 0.01
+NEAR = 0.999 * FAINT ** (1 / 3)  # whatever is rounded, a product below this is faint
 SPELLED = 4
 CACHE = 300_000
 STEPS = 255
@@ -65,8 +66,12 @@ FURTHER = 3.0
 FELT = 0.02
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-_BREAK = b"\xff"  # no byte of UTF-8
-ENDS = (b".", b"!", b"?")
+MARKS = ".,;:!?()\"'"
+_MARKS = MARKS.encode()
+_LETTER = ~SPACE & ~np.isin(np.arange(256), list(_MARKS))  # what is neither space nor mark
+_ENDS = np.isin(np.arange(256), list(b".!?"))
+_WIDTH = np.ones(256, np.int64)  # of a letter, by its first byte
+_WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:] = 2, 3, 4
 
 
 def units(token: str) -> list[str]:
@@ -76,7 +81,7 @@ def units(token: str) -> list[str]:
 
 def units_of(lower: str) -> list[str]:
     """``units`` of a token in lower case."""
-    core = lower.strip(".,;:!?()\"'")
+    core = lower.strip(MARKS)
     if core.isalpha() and len(core) <= WINDOW:
         return [FIRST + core + LAST]
     runs = [core] if core.isalpha() else _TOKEN.findall(lower)
@@ -133,7 +138,8 @@ class Profiles:
         words = codes.shape[1]
         n = self.count[codes].ravel()
         held = np.flatnonzero(n)
-        place, word = np.divmod(held, words)
+        place = held // words
+        word = held - place * words
         n, first = n[held].astype(np.int64), self.start[codes.ravel()[held]]
         ends = np.cumsum(n)
         at = np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -144,18 +150,27 @@ class Profiles:
 def kernel(words: list[str], seen: Profiles) -> np.ndarray:
     """(words, landmarks) similarities."""
     out = np.zeros((len(words), seen.size), np.float32)
+    for rows, found in similar(words, seen):
+        out[rows] = found
+    return out
+
+
+def similar(words: list[str], seen: Profiles) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``words`` and similarities, batch by batch, of the words that are like some landmark."""
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if len(w) >= 3:
-            by_length.setdefault(len(w), []).append(i)
+        by_length.setdefault(len(w), []).append(i)
     for length, rows in by_length.items():
         weight = _places(length)[1]
-        for low in range(0, len(rows), 1024):
+        for low in range(0, len(rows) if length >= 3 else 0, 1024):
             part = rows[low : low + 1024]
-            out[part] = seen.products(_codes([words[i] for i in part], length), weight)
-    out = np.minimum(out**3, 1)  # a word of one letter again and again holds its subsequences many times
-    out[out < FAINT] = 0
-    return out
+            out = seen.products(_codes([words[i] for i in part], length), weight).astype(np.float32)
+            out[out < NEAR] = 0
+            held = np.flatnonzero(out)
+            value = np.minimum(out.ravel()[held] ** 3, 1)  # a word of one letter again and again holds its subsequences many times
+            out.ravel()[held] = np.where(value < FAINT, 0, value)
+            like = np.flatnonzero(out.any(1))
+            yield np.array(part)[like], out[like]
 
 
 def squared_hinge(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, penalty: float = PENALTY, steps: int = 30) -> np.ndarray:
@@ -207,20 +222,34 @@ class Model:
 
 
 class Reader(dict):
-    """Reads texts as windows of similarities. token -> 8 x its row of ``table`` + 4 for a line's end + 2 if it ends a sentence + 1 if it is a single letter."""
+    """Reads texts as windows of similarities. core -> 8 x its row of ``table``, where a core is a token in lower case without the marks around it.
+
+    ``older`` holds cores that were met before those in the dictionary itself.
+    """
 
     def __init__(self, landmarks: list[str]) -> None:
         super().__init__()
         self.seen = Profiles(landmarks)
         self.forget()
 
+    def __missing__(self, token: bytes) -> int:
+        core = token.lower().strip(_MARKS)
+        return self[core] if core in self else self.older[core]
+
     def forget(self) -> None:
         self.clear()
-        self[_BREAK] = 4
-        self.words: dict[str, int] = {}
+        self.older: dict[bytes, int] = {}
         self.table = np.zeros((1024, self.seen.size), np.uint8)
         self.rows = 1  # row 0: like no landmark
 
+    def age(self) -> None:
+        """Forgets the older cores and their rows; the others become the older ones."""
+        row = np.fromiter(self.values(), np.int64, len(self)) >> 3
+        kept = np.unique(np.append(row, 0))
+        self.older = dict(zip(self, (8 * np.searchsorted(kept, row)).tolist()))
+        self.clear()
+        self.table, self.rows = self.table[kept], len(kept)
+
     def _added(self, near: np.ndarray) -> int:
         """The first of the new rows."""
         first, self.rows = self.rows, self.rows + len(near)
@@ -230,44 +259,64 @@ class Reader(dict):
         return first
 
     def learn(self, tokens: list[bytes]) -> None:
-        for low in range(0, len(tokens), 20_000):
-            part = tokens[low : low + 20_000]
+        cores = list({t.lower().strip(_MARKS) for t in tokens})
+        for low in range(0, len(cores), 20_000):
+            part = cores[low : low + 20_000]
             # no token holds a space, so all are decoded at once
-            plain = b" ".join(part).decode("utf-8", "replace")
-            found = list(map(units_of, plain.lower().split(" ")))
-            flat = list({w for ws in found for w in ws if w not in self.words})
-            near = np.rint(kernel(flat, self.seen) * STEPS).astype(np.uint8)
-            like = near.any(1)
-            number = np.where(like, np.cumsum(like) - 1 + self._added(near[like]), 0)
-            self.words.update(zip(flat, number.tolist()))
-            row_of, code = self.words, []
-            for token, letters, ws in zip(part, plain.split(" "), found):
-                if len(ws) == 1:
-                    row = row_of[ws[0]]
-                elif ws:
-                    rows = [r for r in map(row_of.__getitem__, ws) if r]
-                    row = rows[0] if len(rows) == 1 else self._added(self.table[rows].max(0)[None]) if rows else 0
-                else:
-                    row = 0
-                code.append(8 * row + 2 * token.endswith(ENDS) + (len(letters) == 1))
-            self.update(zip(part, code))
+            plain = b" ".join(part).decode("utf-8", "replace").lower().split(" ")
+            # most cores are one word; what the others may stand for follows
+            words = [FIRST + core + LAST if core.isalpha() and len(core) <= WINDOW else "" for core in plain]
+            others = {i: units_of(plain[i]) for i, word in enumerate(words) if not word}
+            flat = words + [w for ws in others.values() for w in ws]
+            row = np.zeros(len(flat), np.int64)
+            for places, near in similar(flat, self.seen):
+                row[places] = np.arange(len(places)) + self._added(np.rint(near * STEPS).astype(np.uint8))
+            at = len(words)
+            for i, ws in others.items():
+                rows, at = [r for r in row[at : at + len(ws)].tolist() if r], at + len(ws)
+                if rows:
+                    row[i] = rows[0] if len(rows) == 1 else self._added(self.table[rows].max(0)[None])
+            self.update(zip(part, (8 * row[: len(part)]).tolist()))
+
+    def codes(self, cores: list[bytes]) -> list[int]:
+        """The codes of single cores; new ones are learned."""
+        if len(self) > CACHE // 2:
+            if len(self) > CACHE:
+                self.forget()
+            else:
+                self.age()
+        found = list(map(self.get, cores))
+        missing = [c for c, code in zip(cores, found) if code is None]
+        self.update((c, self.older[c]) for c in missing if c in self.older)
+        self.learn([c for c in missing if c not in self])
+        return [self[c] if code is None else code for c, code in zip(cores, found)]
+
+    def _codes_at(self, data: bytes, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The codes of the tokens from ``begin`` to ``end``. Only one of equal cores is made an object and looked up."""
+        letter = np.flatnonzero(_LETTER[raw])
+        first, behind = np.searchsorted(letter, begin), np.searchsorted(letter, end)
+        core = first < behind  # the others are marks only
+        low, high = begin.copy(), begin.copy()
+        low[core], high[core] = letter[first[core]], letter[behind[core] - 1] + 1
+        _, at, place = np.unique(span_hashes(raw, low, high), return_index=True, return_inverse=True)
+        lower = data.lower()
+        there = [lower[a:b] for a, b in zip(low[at].tolist(), high[at].tolist())]
+        return np.array(self.codes(there), np.int64)[place]
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Similarities (windows, landmarks) and each one's place in ``texts``, then the same of half windows; what is like no landmark is left out."""
-        parts = [t.replace(b"\n", b" \xff ").split() for t in texts]
-        there = set().union(*parts)
-        missing = [t for t in there if t not in self]
-        if len(self) + len(missing) > CACHE:
-            self.forget()
-            missing = [t for t in there if t != _BREAK]
-        self.learn(missing)
-        tokens = [t for p in parts for t in (*p, _BREAK)]
-        code = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        text = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
-        spelled, owner = self._spelled(tokens, code, text)
-        word = (code & 4) == 0
-        first = np.concatenate(([True], (code[:-1] & 6) > 0))[word]
-        code, text = code[word], text[word]
+        data = b"\n".join(texts)
+        raw = np.frombuffer(data, np.uint8)
+        space = np.concatenate(([True], SPACE[raw], [True]))
+        begin, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        code = self._codes_at(data, raw, begin, end)
+        ends, single = _ENDS[raw[end - 1]], end - begin == _WIDTH[raw[begin]]
+        line = np.searchsorted(np.flatnonzero(raw == ord("\n")), begin)
+        new_line = np.diff(line, prepend=-1) > 0
+        low = np.cumsum([0] + [len(t) + 1 for t in texts])
+        text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(begin, low)))
+        spelled, owner = self._spelled(data, begin, end, single, new_line, text)
+        first = new_line | np.concatenate(([True], ends[:-1]))[: len(ends)]
         # halves begin with a sentence, and every PASSAGE / 2 tokens in it
         place = np.arange(len(code))
         begin = np.maximum.accumulate(np.where(first, place, 0))
@@ -278,7 +327,12 @@ class Reader(dict):
             return spelled, owner, spelled, owner
         of = number[near]
         start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        half = np.maximum.reduceat(self.table[code[near] >> 3], start).astype(np.float32) / STEPS
+        row, size = code[near] >> 3, np.diff(start, append=len(near))
+        half = self.table.take(row[start], 0)
+        for k in range(1, step):
+            more = np.flatnonzero(size > k)
+            half[more] = np.maximum(half[more], self.table.take(row[start[more] + k], 0))
+        half = half.astype(np.float32) / STEPS
         of, at = of[start], near[start]
         ends = np.append(np.flatnonzero(first)[1:], len(code))[np.cumsum(first) - 1][at]
         inside, halves = (at - begin[at]) // step, -(-(ends - begin[at]) // step)
@@ -292,12 +346,12 @@ class Reader(dict):
         whole = np.concatenate((joined[opens], half[shut], spelled))
         return whole, np.concatenate((text[at[opens]], text[at[shut]], owner)), np.concatenate((half, spelled)), np.concatenate((text[at], owner))
 
-    def _spelled(self, tokens: list[bytes], code: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _spelled(self, data: bytes, begin: np.ndarray, end: np.ndarray, single: np.ndarray, new_line: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs of SPELLED or more single letters of a line, each a window of one word."""
-        single = np.concatenate(([0], code & 1, [0]))
-        edge = np.flatnonzero(np.diff(single))
-        runs = [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= SPELLED]
-        words = [units(b"".join(tokens[a:b]).decode("utf-8", "replace")) for a, b in runs]
+        at = np.flatnonzero(single)
+        opens = np.flatnonzero(new_line[at] | (np.diff(at, prepend=-2) > 1))
+        runs = [(at[a], at[b - 1]) for a, b in zip(opens, [*opens[1:], len(at)]) if b - a >= SPELLED]
+        words = [units(b"".join(data[begin[a] : end[b]].split()).decode("utf-8", "replace")) for a, b in runs]
         flat = [w for ws in words for w in ws]
         owner = np.array([text[a] for (a, _), ws in zip(runs, words) for _ in ws], np.int64)
         found = kernel(flat, self.seen)

@@ -144,3 +144,39 @@ def test_new_tokens_cost_few_calls():
         alone = tox.Reader(["<table>", "<house>", "<ασ>", "<rodent>"])
         alone.learn([token])
         assert (known[token] & 7) == (alone[token] & 7) and (known.table[known[token] >> 3] == alone.table[alone[token] >> 3]).all()
+
+
+def test_a_word_is_learned_once_whatever_its_case_and_marks():
+    known = tox.Reader(["<trash>", "<bati"])
+    known.windows([b"Trash trash, (TRASH)\n\"trash\"! bati", b"Bati. ... trash"])
+    assert set(known) == {b"trash", b"bati", b""}
+    assert known[b"TRASH!"] == known[b"trash"] > 0 == known[b"..."]
+
+
+def test_words_that_come_back_outlive_the_cache(monkeypatch):
+    monkeypatch.setattr(tox, "CACHE", 60)
+    marks = ["<trash>", "<bati", "<shonti>"]
+    known, learned, learn = tox.Reader(marks), [], tox.Reader.learn
+    monkeypatch.setattr(tox.Reader, "learn", lambda self, tokens: (learned.extend(tokens), learn(self, tokens))[1])
+    rng = random.Random(5)
+    for block in range(30):
+        text = " ".join(["trash", *("".join(rng.choice("abehinorst") for _ in range(8)) for _ in range(12)), "shontibati."]).encode()
+        got = known.windows([text])
+        assert len(known) + len(known.older) <= 90
+        if block % 9 == 0:
+            fresh = tox.Reader(marks)
+            learn(fresh, text.split())
+            assert all(np.array_equal(a, b) for a, b in zip(got, fresh.windows([text])))
+    assert learned.count(b"trash") == 1 and learned.count(b"shontibati") == 1
+
+
+def test_spans_have_the_hashes_of_their_words(monkeypatch):
+    from plumbline.llm import common
+
+    monkeypatch.setattr(common, "SLICE", 64)
+    words = [w.encode() for w in prose(400).split()] + [b"x" * 300, b"Trash", b"trash"]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    got = common.span_hashes(raw, end - [len(w) for w in words], end)
+    assert got.tolist() == common.word_hashes(raw, np.array([0, len(raw)]))[0].tolist()
+    assert len(set(got.tolist())) == len({w.lower() for w in words})
