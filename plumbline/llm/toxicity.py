@@ -431,7 +431,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def landmark_words(rows: DataFrame, totals: dict[int, int]) -> tuple[list[str], np.ndarray]:
-    """Half of the landmarks by evidence for toxic texts, the others by hash; and each one's evidence."""
+    """Half of the landmarks by evidence for toxic texts, the others by hash; and each one's evidence beyond what chance gives."""
     each = rows.select("toxic", "text").mapInArrow(_words, "toxic int, word string, n long")
     counted = each.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     counted = written(counted.filter(F.length("word") >= 5))
@@ -447,7 +447,9 @@ def landmark_words(rows: DataFrame, totals: dict[int, int]) -> tuple[list[str],
     for r in judged.filter(F.endswith("word", F.lit(LAST))).orderBy(F.xxhash64("word"), "word").limit(LANDMARKS).collect():
         if len(chosen) < LANDMARKS:
             chosen.setdefault(r["word"], r["g"])
-    return list(chosen), np.array(list(chosen.values()))
+    # without any connection, the best of n words comes to about 2 ln n
+    chance = 2 * np.log(max(1, counted.count()))
+    return list(chosen), np.maximum(np.array(list(chosen.values())) - chance, 0)
 
 
 def coordinates(landmarks: list[str], evidence: np.ndarray) -> np.ndarray:

@@ -170,6 +170,15 @@ def test_words_that_come_back_outlive_the_cache(monkeypatch):
     assert learned.count(b"trash") == 1 and learned.count(b"shontibati") == 1
 
 
+def test_landmarks_found_by_chance_count_as_unknown(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abehinorst") for _ in range(4))
+    rows = [(i, " ".join(["zxgrunk"] * (i % 2) + [word() for _ in range(30)]).encode(), i % 2) for i in range(120)]
+    words, evidence = tox.landmark_words(spark.createDataFrame(rows, "doc_id long, text binary, toxic int"), {0: 60, 1: 60})
+    found = dict(zip(words, evidence.tolist()))
+    assert found["<zxgrunk>"] > 50 and sum(e == 0 for w, e in found.items() if "zxgru" not in w) > 0.95 * len(found) - 2
+
+
 def test_spans_have_the_hashes_of_their_words(monkeypatch):
     from plumbline.llm import common
 
