@@ -1,12 +1,15 @@
 """Readers and writers on local files."""
 
+import hashlib
 import json
+import random
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.feather as feather
 import pytest
 
+from plumbline.functions import md5
 from plumbline.operators.diff import diff
 from plumbline.sources import files as FI
 from plumbline.sources import readers as RD
@@ -100,6 +103,50 @@ def test_manifest_and_storage(spark, tmp_path):
     assert FI.storage_stats(spark, f"{tmp_path}/*").first().asDict() == {"files": 2, "total_bytes": 11}
 
 
+def test_manifest_of_files_of_many_splits(spark, tmp_path, monkeypatch):
+    noise = random.Random(3).randbytes(400_001)
+    made = {"a b%.parquet": noise, "ends.csv": noise + b"\n", "mark.txt": b"\xef\xbb\xbf" + noise, "mark ends.txt": b"\xef\xbb\xbf" + noise + b"\n\n",
+            "[x]{y}.bin": noise[::-1], "feeds.bin": b"\n" * 300_000, "crlf.csv": b"a,b\r\n" * 50_000,
+            "long.bin": b"\n".join(bytes(90_000 + i) for i in range(4)), "small.bin": b"abc"}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(FI, "WHOLE", 100_000, raising=False)
+    # no file may be one cell, no task may read more than a split
+    conf = {"spark.sql.sources.binaryFile.maxLength": "100000", "spark.sql.files.maxPartitionBytes": "65536"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        got = FI.file_manifest(spark, [f"{tmp_path}/*", f"{tmp_path}/feeds.bin"]).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {r["name"] for r in got} == set(made)
+    for r in got:
+        assert (r["size_bytes"], r["checksum"]) == (len(made[r["name"]]), hashlib.md5(made[r["name"]]).hexdigest())
+
+
+def test_manifest_of_packed_files(spark, tmp_path, monkeypatch):
+    noise = random.Random(4).randbytes(200_000)
+    (tmp_path / "no gzip.gz").write_bytes(noise)
+    (tmp_path / "a.bin").write_bytes(noise)
+    monkeypatch.setattr(FI, "WHOLE", 100_000, raising=False)
+    got = {r["name"]: r["checksum"] for r in FI.file_manifest(spark, f"{tmp_path}/*").collect()}
+    assert got == dict.fromkeys(["no gzip.gz", "a.bin"], hashlib.md5(noise).hexdigest())
+
+
+def test_md5_goes_on(monkeypatch):
+    for fast in (True, False):
+        if not fast:
+            monkeypatch.setattr(md5, "_fast", lambda: None)
+        for n in (0, 1, 55, 56, 63, 64, 65, 119, 120, 128, 1000):
+            data = random.Random(n).randbytes(n)
+            state = md5.START
+            for at in range(0, n, 37):
+                state = md5.update(state, data[at:at + 37])
+            assert md5.hexdigest(state) == hashlib.md5(data).hexdigest()
+
+
 def test_stage_partitions(spark, sample, tmp_path):
     back = WR.save_stage(sample, str(tmp_path / "s"), partition_by=["feature2"])
     assert diff(sample, back.select(sample.columns)).count() == 0
