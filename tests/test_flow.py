@@ -160,3 +160,35 @@ def test_json_written_here_is_read_whole(spark, tmp_path):
     assert load(spark, str(tmp_path / "doc.json")).count() == 2
     (tmp_path / "one.json").write_text('{\n "i": 1,\n "t": "a"\n}')
     assert load(spark, str(tmp_path / "one.json")).count() == 1
+
+
+def test_search_fits_every_trial_in_every_fold_as_drawn(flowers):
+    """The scores are those of Spark's own forest with the drawn settings, on rows dealt into the given number of tasks."""
+    data = flowers.dropDuplicates().fillna(0.0)
+    space = {**SPACE, "subsample": ("float", 0.6, 1.0), "colsample": ("float", 0.6, 1.0)}
+    config = ML.AutoMLConfig("classification", ["logistic", "random_forest"], trials=4, folds=3, space=space, rows_per_task=1000)
+    found = ML.automl(data, ["a", "b"], "target", ["id"], config)
+    keyed = data.withColumn("_fold", (ML.hash_number(["id"], config.seed + 1) % 3).cast("int"))
+    made = ML.assemble(keyed, ["a", "b"], "target", keep=["id", "_fold"]).repartition(1).sortWithinPartitions("id")
+    train = ML.hash_split(made, ["id"], 0.8, config.seed)[0].select("features", "label", "_fold").persist()
+    judge = ML.MulticlassClassificationEvaluator(metricName="f1")
+    got = {r.trial: (r.algorithm, r.score) for r in found.trials.collect()}
+    for i, p in enumerate(ML.draw_trials(config)):
+        if p["algorithm"] == "logistic":
+            learner = ML.LogisticRegression(regParam=p["learning_rate"])
+        else:
+            learner = ML.RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"], seed=config.seed, subsamplingRate=p["subsample"],
+                                                featureSubsetStrategy=str(p["colsample"]))
+        scores = [judge.evaluate(learner.fit(train.filter(f"_fold <> {f}")).transform(train.filter(f"_fold = {f}"))) for f in range(3)]
+        assert got[i] == (p["algorithm"], pytest.approx(sum(scores) / 3, abs=1e-9))
+    with pytest.raises(ValueError, match="fold 0 is empty"):
+        ML.automl(data.filter((ML.hash_number(["id"], config.seed + 1) % 3) != 0), ["a", "b"], "target", ["id"], config)
+
+
+def test_forests_make_their_trees_only_when_asked(flowers):
+    rows = ML.assemble(flowers.fillna(0.0), ["a", "b"], "target")
+    for task, kind in (("classification", "Classification"), ("regression", "Regression")):
+        model = ML.learner_for("random_forest", task).fit(rows, {})
+        assert "trees" not in vars(model) and "trees" not in vars(model.copy())
+        assert [type(t).__name__ for t in model.trees] == [f"DecisionTree{kind}Model"] * 20
+        assert ML.feature_importance(model, ["a", "b"], flowers).first()["feature"] == "a"

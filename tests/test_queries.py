@@ -37,3 +37,16 @@ def test_trial_history_trains_every_trial_in_every_fold(spark, tmp_path, monkeyp
     got = run(spark, str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, duck.execute(sql).fetchall()))
     assert [(c.trials, c.folds, c.algorithms, nulls) for c, nulls in asked] == [(30, 5, ["logistic", "random_forest"], 0)]
+
+
+def test_trial_history_draws_from_the_documented_space():
+    """50 to 300 trees of depth 3 to 10 on parts of rows and features, not a few small ones."""
+    from checks import drifting
+    from plumbline.operators import model as ML
+    config = drifting._tree_search()
+    assert config.space == ML.SEARCH_SPACE and (config.trials, config.folds) == (30, 5)
+    for p in ML.draw_trials(config):
+        assert set(p) == {"algorithm", *ML.SEARCH_SPACE}
+        assert all(low <= p[name] <= high for name, (_, low, high) in ML.SEARCH_SPACE.items())
+    forests = [p for p in ML.draw_trials(config) if p["algorithm"] == "random_forest"]
+    assert len(forests) == 15 and max(p["n_estimators"] for p in forests) > 200 and max(p["max_depth"] for p in forests) > 8
